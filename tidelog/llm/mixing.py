@@ -52,13 +52,13 @@ def targets(sizes: DataFrame, cap: int = CAP) -> DataFrame:
     w = sizes.withColumn("_w", (1 + (F.row_number().over(every) - 1) % 3).cast("double"))
     w = w.withColumn("_stop", F.col("source_size").cast("double") * cap)
     all_rows = W.partitionBy()
-    w = w.withColumn("_T", F.sum(F.col("source_size").cast("double")).over(all_rows)).withColumn("_W", F.sum("_w").over(all_rows))
+    w = w.withColumn("_words_all", F.sum(F.col("source_size").cast("double")).over(all_rows)).withColumn("_weights", F.sum("_w").over(all_rows))
     before = W.orderBy(F.col("_stop") / F.col("_w"), F.col("source").isNull(), "source").rowsBetween(W.unboundedPreceding, -1)
-    w = w.withColumn("_level", F.try_divide(F.col("_T") - F.coalesce(F.sum("_stop").over(before), F.lit(0.0)), F.col("_W") - F.coalesce(F.sum("_w").over(before), F.lit(0.0))))
+    w = w.withColumn("_level", F.try_divide(F.col("_words_all") - F.coalesce(F.sum("_stop").over(before), F.lit(0.0)), F.col("_weights") - F.coalesce(F.sum("_w").over(before), F.lit(0.0))))
     w = w.withColumn("_full", F.col("_stop") / F.col("_w") <= F.col("_level"))
     free_w = F.sum(F.when(~F.col("_full"), F.col("_w")).otherwise(0.0)).over(all_rows)
     used = F.sum(F.when(F.col("_full"), F.col("_stop")).otherwise(0.0)).over(all_rows)
-    level = F.coalesce(F.try_divide(F.col("_T") - used, free_w), F.lit(0.0))
+    level = F.coalesce(F.try_divide(F.col("_words_all") - used, free_w), F.lit(0.0))
     return w.withColumn("target", F.when(F.col("_full"), F.col("_stop")).otherwise(F.col("_w") * level)).select("source", "source_size", "target")
 
 
