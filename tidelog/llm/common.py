@@ -18,6 +18,7 @@ import tempfile
 import uuid
 
 import numpy as np
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -178,3 +179,38 @@ def as_bytes(text: str | bytes | None) -> np.ndarray:
         return np.zeros(0, np.uint8)
     raw = text if isinstance(text, bytes) else text.encode("utf-8", "surrogatepass")
     return np.frombuffer(raw, np.uint8)
+
+
+class Joined:
+    """Texts of a batch as one byte string, a line feed between them."""
+
+    def __init__(self, texts: list[bytes | None], lowered: bool = False):
+        raw = b"\n".join([x or b"" for x in texts])
+        self.data = np.frombuffer(raw, np.uint8)
+        if lowered:
+            self.data = lower(self.data)
+        sizes = np.fromiter((len(x) if x else 0 for x in texts), np.int64, len(texts))
+        self.starts = np.concatenate([[0], np.cumsum(sizes + 1)[:-1]]).astype(np.int64) if len(texts) else np.zeros(0, np.int64)
+        self.sizes = sizes
+
+    def words(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Word starts, ends, hashes, and the number of words of each text."""
+        s, e, h = word_hashes(self.data)
+        cut = np.searchsorted(s, np.append(self.starts, len(self.data) + 1))
+        return s, e, h, np.diff(cut)
+
+
+def pieces(batches, names: list[str], text: str, limit: int = 1 << 22):
+    """Cut Arrow batches into runs of rows of about ``limit`` text bytes."""
+    import pyarrow as pa
+
+    for batch in batches:
+        cols = {n: batch.column(batch.schema.get_field_index(n)) for n in names}
+        t = batch.column(batch.schema.get_field_index(text)).cast(pa.binary())
+        sizes = pa.compute.fill_null(pa.compute.binary_length(t), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        cut, total = [0], np.cumsum(sizes + 64)
+        while cut[-1] < len(sizes):
+            base = total[cut[-1] - 1] if cut[-1] else 0
+            cut.append(max(cut[-1] + 1, int(np.searchsorted(total, base + limit))))
+        for a, b in zip(cut[:-1], cut[1:], strict=True):
+            yield {n: c.slice(a, b - a) for n, c in cols.items()}, t.slice(a, b - a).to_pylist()

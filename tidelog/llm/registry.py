@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from tidelog.llm import (
+    lm_scoring,
     mixing,
     quality_rules,
     sharding,
@@ -11,6 +12,7 @@ from tidelog.llm import (
 QUERIES = {
     "op2_extendible_sharding": sharding.query,
     "op4_systematic_mixing": mixing.query,
+    "op10_log_bloom_lm": lm_scoring.query,
     "op7_compression_bands": quality_rules.query,
 }
 
