@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from tidelog.llm import (
     lm_scoring,
+    media,
     mixing,
     quality_rules,
     sharding,
@@ -13,6 +14,7 @@ QUERIES = {
     "op2_extendible_sharding": sharding.query,
     "op4_systematic_mixing": mixing.query,
     "op10_log_bloom_lm": lm_scoring.query,
+    "op8_signature_sniffing": media.query,
     "op7_compression_bands": quality_rules.query,
 }
 
