@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from tidelog.llm import (
+    boosted_quality,
     lm_scoring,
     media,
     mixing,
@@ -15,6 +16,7 @@ QUERIES = {
     "op4_systematic_mixing": mixing.query,
     "op10_log_bloom_lm": lm_scoring.query,
     "op8_signature_sniffing": media.query,
+    "op3_boosted_quality": boosted_quality.query,
     "op7_compression_bands": quality_rules.query,
 }
 
