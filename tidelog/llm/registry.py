@@ -7,6 +7,7 @@ from tidelog.llm import (
     lm_scoring,
     media,
     mixing,
+    packing,
     quality_rules,
     sharding,
 )
@@ -17,6 +18,7 @@ QUERIES = {
     "op10_log_bloom_lm": lm_scoring.query,
     "op8_signature_sniffing": media.query,
     "op3_boosted_quality": boosted_quality.query,
+    "op1_hilbert_packing": packing.query,
     "op7_compression_bands": quality_rules.query,
 }
 
