@@ -32,6 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -42,7 +43,7 @@ END = np.uint64(0x1D0C5E17A9B3F251)
 START = np.uint64(0x7A3E5D9160C8B24F)
 CHUNK_TOKENS = 1_000_000
 SEGMENT_BITS = 23
-SEGMENTS = 128
+SEGMENTS = 64
 FILTER_BYTES = SEGMENTS << (SEGMENT_BITS - 3)
 HASHES = 4
 BITS_EACH = 8
@@ -342,7 +343,7 @@ def _score(model, total: int, distinct: int, starts: int):
             if row["last"] == 0:
                 counts.append((row["at"], row["counts"]))
                 continue
-            bloom = bloom or LogBloom(np.frombuffer(model.value, np.uint8))
+            bloom = bloom or LogBloom(np.frombuffer(zstandard.decompress(model.value), np.uint8))
             exact = np.zeros(len(row["words"]) // 8, np.int64)
             for at, got in counts:
                 exact[np.frombuffer(at, np.int32)] = np.frombuffer(got, np.int64)
@@ -372,7 +373,7 @@ def score_documents(docs: DataFrame, train=None) -> DataFrame:
     bits = bytearray(FILTER_BYTES)  # SEGMENTS rows of a fixed size
     for row in built.toLocalIterator():
         bits[row["segment"] << (SEGMENT_BITS - 3) : (row["segment"] + 1) << (SEGMENT_BITS - 3)] = row["bits"]
-    model = spark.sparkContext.broadcast(bytes(bits))
+    model = spark.sparkContext.broadcast(zstandard.compress(bytes(bits)))  # each executor keeps a file of it
     del bits
     told = answers.filter("chunk is not null").select("chunk", F.lit(0).alias("last"), "at", "counts")
     both = chunks.withColumn("last", F.lit(1)).unionByName(told, allowMissingColumns=True)
