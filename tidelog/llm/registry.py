@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from tidelog.llm import (
     boosted_quality,
+    html_extraction,
     lm_scoring,
     media,
     mixing,
@@ -19,6 +20,7 @@ QUERIES = {
     "op8_signature_sniffing": media.query,
     "op3_boosted_quality": boosted_quality.query,
     "op1_hilbert_packing": packing.query,
+    "op9_wrapper_induction": html_extraction.query,
     "op7_compression_bands": quality_rules.query,
 }
 
