@@ -8,6 +8,7 @@ from tidelog.llm import (
     lm_scoring,
     media,
     mixing,
+    ngram_join,
     packing,
     quality_rules,
     sharding,
@@ -21,6 +22,7 @@ QUERIES = {
     "op3_boosted_quality": boosted_quality.query,
     "op1_hilbert_packing": packing.query,
     "op9_wrapper_induction": html_extraction.query,
+    "op5_prefix_tree_join": ngram_join.query,
     "op7_compression_bands": quality_rules.query,
 }
 
