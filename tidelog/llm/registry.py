@@ -12,6 +12,7 @@ from tidelog.llm import (
     packing,
     quality_rules,
     sharding,
+    suffix_dedup,
 )
 
 QUERIES = {
@@ -23,6 +24,7 @@ QUERIES = {
     "op1_hilbert_packing": packing.query,
     "op9_wrapper_induction": html_extraction.query,
     "op5_prefix_tree_join": ngram_join.query,
+    "op6_difference_cover_dedup": suffix_dedup.query,
     "op7_compression_bands": quality_rules.query,
 }
 
