@@ -251,17 +251,21 @@ class HostWrapper:
         return cls(*json.loads(raw))
 
     def template_of(self, page: Node) -> set[int]:
-        """ids of the page's nodes that align with constant nodes."""
+        """ids of the page's nodes that align with constant nodes.
+
+        A constant word in bold within a varying line belongs to the line.
+        """
         found: set[int] = set()
         if len(self.seen) < LEAST_PAGES:
             return found
-        total, todo = self.tree[1], [(self.tree, page)]
+        total, todo = self.tree[1], [(self.tree, page, False)]
         while todo:
-            w, node = todo.pop()
-            if w[2] and w[1] >= max(LEAST_PAGES, LEAST_SHARE * total) and _mark(node.own_text()) == w[2]:
+            w, node, in_slot = todo.pop()
+            in_slot = in_slot and node.tag not in BLOCK
+            if not in_slot and w[2] and w[1] >= max(LEAST_PAGES, LEAST_SHARE * total) and _mark(node.own_text()) == w[2]:
                 found.add(id(node))
             kids = [k for k in node.kids if isinstance(k, Node)]
-            todo += [(w[3][i], kids[j]) for i, j in _pairs(w[3], [[k.label, 1, None, k.kids] for k in kids])]
+            todo += [(w[3][i], kids[j], in_slot or w[2] is None) for i, j in _pairs(w[3], [[k.label, 1, None, k.kids] for k in kids])]
         return found
 
 

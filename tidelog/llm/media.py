@@ -52,12 +52,14 @@ def _png(b: bytes, at: int) -> int:
 
 def _jpeg(b: bytes, at: int) -> int:
     p = at + 2
-    while p + 4 <= len(b):
+    while p + 2 <= len(b):
         if b[p] != 0xFF:
             return 0
         mark = b[p + 1]
         if mark == 0xD9:
             return p + 2 - at
+        if p + 4 > len(b):
+            return 0
         size = int.from_bytes(b[p + 2 : p + 4], "big")
         if mark < 0xC0 or size < 2:
             return 0

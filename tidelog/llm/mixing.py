@@ -25,6 +25,8 @@ Extra columns travel through :func:`mix_documents` and are ignored by the query.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from operator import and_
 
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
@@ -119,19 +121,17 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 def mix_documents(docs: DataFrame) -> DataFrame:
     """The mix itself: each row of ``docs`` as often as it is taken, columns as they are."""
     names = docs.columns
-    rows = docs.select(*[docs[c] for c in names], docs["source"].cast("string").alias("_source"), word_count(docs["text"]).alias("_n"))
+    rows = docs.select(F.struct(*[docs[c] for c in names]).alias("_row"), docs["doc_id"].alias("_id"), docs["source"].cast("string").alias("_source"), word_count(docs["text"]).alias("_n"), F.xxhash64(docs["text"]).alias("_h"))
     rows = shared_table(rows, "rows")
-    keys = rows.select("doc_id", "_source", "_n", F.xxhash64("text").alias("_h"))
-    out = copies(keys, [F.col("_n"), _tie(F.col("doc_id")), F.col("doc_id"), F.col("_h")])
+    key = ["_id", "_source", "_n", "_h"]
+    out = copies(rows.select(*key), [F.col("_n"), _tie(F.col("_id")), F.col("_id"), F.col("_h")])
     # rows that agree in all of these are alike for the mix: their copies are summed and dealt evenly
-    took = out.groupBy("doc_id", "_source", "_n", "_h").agg(F.sum("_copies").alias("_c"), F.count(F.lit(1)).alias("_m"))
-    took = took.select(*[F.col(c).alias("_k" + c) for c in ("doc_id", "_source", "_n", "_h")], "_c", "_m")
-    r = rows.withColumn("_h", F.xxhash64("text"))
-    same = r["doc_id"].eqNullSafe(took["_kdoc_id"]) & r["_source"].eqNullSafe(took["_k_source"]) & (r["_n"] == took["_k_n"]) & (r["_h"] == took["_k_h"])
-    joined = r.join(took, same)
+    took = out.groupBy(*key).agg(F.sum("_copies").alias("_c"), F.count(F.lit(1)).alias("_m")).withColumnsRenamed({c: f"_k{c}" for c in key})
+    joined = rows.join(took, reduce(and_, [rows[c].eqNullSafe(took[f"_k{c}"]) for c in key]))
     nth = F.when(F.col("_m") == 1, F.lit(0)).otherwise(F.pmod(F.monotonically_increasing_id(), F.col("_m")))
     share = F.floor(F.col("_c") / F.col("_m")) + F.when(nth < F.col("_c") % F.col("_m"), 1).otherwise(0)
-    return joined.withColumn("_i", F.explode(F.sequence(F.lit(1), F.greatest(share, F.lit(1))))).filter(share >= 1).select(*[F.col(c) for c in names])
+    times = joined.withColumn("_times", share).filter("_times >= 1")
+    return times.select("_row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_times"))).alias("_i")).select(*[F.col("_row").getField(c).alias(c) for c in names])
 
 
 ORACLE_SQL = r"""
