@@ -10,7 +10,7 @@ def _plain(v):
     if v is None or v != v:
         return "null"
     if isinstance(v, float):
-        return f"{v:.9g}"
+        return str(int(v)) if v == v // 1 and abs(v) < 2**53 else f"{v:.9g}"
     if isinstance(v, (bytes, bytearray)):
         return bytes(v).hex()
     return str(v)
