@@ -93,7 +93,5 @@ def test_streaming_dedup_matches_the_fold():
 def test_text_functions(spark):
     raw = spark.createDataFrame([("5s",), ("3d",), ("7",), ("2MB",), ("99999999999999999d",), ("4KiB",)], "x string")
     assert [tuple(r) for r in raw.select(text.duration_ms(F.col("x")), text.byte_size(F.col("x"))).collect()] == [(5000, None), (259_200_000, None), (None, None), (None, None), (None, None), (None, 4096)]
-    ttl = spark.createDataFrame([(b"TTL1" + (1500).to_bytes(8, "little"),), (b"XXXX",), (b"TTL1" + b"\xff" * 8,)], "h binary")
-    assert [r[0] for r in ttl.select(text.ttl_of_headers(F.col("h"))).collect()] == [1500, None, 2**63 - 1]
     up = spark.createDataFrame([(0,), (61,), (90_061,)], "s long")
     assert [r[0] for r in up.select(text.uptime(F.col("s"))).collect()] == ["0s", "1m 1s", "1d 1h 1m 1s"]

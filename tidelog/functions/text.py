@@ -75,14 +75,5 @@ def inbox_subject(correlation: Column) -> Column:
     return F.concat(F.lit("_INBOX."), F.lower(F.hex(correlation)))
 
 
-def ttl_of_headers(headers: Column) -> Column:
-    """Lifetime in ms of a headers blob ``TTL1`` + little-endian u64; null if it has none."""
-    raw = F.hex(F.substring(headers, 5, 8))
-    swapped = F.concat(*[F.substring(raw, k, 2) for k in range(15, 0, -2)])
-    has = (F.substring(headers, 1, 4) == F.lit(b"TTL1")) & (F.octet_length(headers) >= 12)
-    value = F.conv(swapped, 16, 10).cast("decimal(20,0)")
-    return F.when(has, F.least(value, F.lit(2**63 - 1).cast("decimal(20,0)")).cast("long"))
-
-
 def flag_set(flags: Column, bit: int) -> Column:
     return flags.bitwiseAND(F.lit(bit)) != 0
