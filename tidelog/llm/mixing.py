@@ -4,7 +4,8 @@ Every source has a target of words. Each document of a source expects
 ``target / source_size`` copies. The expectations are summed along the source
 (ordered by size, then by a hash, so the sample is stratified by size), one
 offset per source is added, and a document is taken once for each integer
-boundary its step crosses. With at most three expected copies no document is
+boundary its step crosses. The offset is the best of TRIES evenly spaced ones
+from a hashed start: the one whose words come nearest to the target. With at most three expected copies no document is
 taken more than three times.
 
 Targets: sources in code-point order, null last, weigh 1, 2, 3, 1, ... and share
@@ -39,6 +40,7 @@ from tidelog.llm.common import shared_table, tasks_for
 
 CAP = 3
 SEED = "mix-1"
+TRIES = 16
 _GRID = 1 << 20  # offsets are multiples of 2**-20, exact beside large ranks
 
 
@@ -101,9 +103,20 @@ def copies(rows: DataFrame, order: list[Column]) -> DataFrame:
     parts = parts.join(goal, F.col("_source").eqNullSafe(F.col("_s2"))).select(F.col("_source").alias("_s1"), F.col("_task").alias("_t1"), "_base", "_size", "_target")
     one = ranked.join(parts, (F.col("_task") == F.col("_t1")) & F.col("_source").eqNullSafe(F.col("_s1"))).drop("_s1", "_t1")
     rate = F.coalesce(F.try_divide(F.col("_target"), F.col("_size").cast("double")), F.lit(0.0))
-    offset = F.conv(F.substring(F.md5(F.encode(F.concat(F.lit(SEED + ":"), F.coalesce("_source", F.lit(""))), "utf-8")), 1, 5), 16, 10).cast("double") / _GRID
+    start = F.conv(F.substring(F.md5(F.encode(F.concat(F.lit(SEED + ":"), F.coalesce("_source", F.lit(""))), "utf-8")), 1, 5), 16, 10).cast("long")
     k = (F.col("_base") + F.col("_rank")).cast("double")
-    return one.withColumn("_copies", F.floor(offset + rate * (k + 1)).cast("long") - F.floor(offset + rate * k).cast("long"))
+
+    def taken(offset: Column) -> Column:
+        return F.floor(offset + rate * (k + 1)).cast("long") - F.floor(offset + rate * k).cast("long")
+
+    offsets = [((start + j * (_GRID // TRIES)) % _GRID).cast("double") / _GRID for j in range(TRIES)]
+    words = [F.sum(taken(u) * F.col("_n")).alias(f"_t{j}") for j, u in enumerate(offsets)]
+    tried = one.groupBy("_source").agg(F.first("_target").alias("_goal"), *words)
+    best = F.array_min(F.array(*[F.struct(F.abs(F.col(f"_t{j}") - F.col("_goal")).alias("off"), F.lit(j).alias("j")) for j in range(TRIES)]))
+    tried = tried.select(F.col("_source").alias("_s3"), best["j"].alias("_try"))
+    chosen = one.join(tried, F.col("_source").eqNullSafe(F.col("_s3")))
+    offset = ((start + F.col("_try") * (_GRID // TRIES)) % _GRID).cast("double") / _GRID
+    return chosen.withColumn("_copies", taken(offset)).drop("_s3", "_try")
 
 
 def _tie(doc_id: Column) -> Column:
@@ -149,12 +162,16 @@ WITH d AS (
             / nullif(sum(CASE WHEN stop / w <= level THEN 0 ELSE w END) OVER (), 0) AS shared FROM v
 ), t AS (
   SELECT source, source_size, CASE WHEN stop / w <= level THEN stop ELSE w * shared END AS target,
-         CAST(('0x' || substr(md5('mix-1:' || coalesce(source, '')), 1, 5)) AS BIGINT) / 1048576.0::DOUBLE AS u FROM f
+         CAST(('0x' || substr(md5('mix-1:' || coalesce(source, '')), 1, 5)) AS BIGINT) AS m FROM f
 ), k AS (
-  SELECT d.doc_id, d.size, t.source_size, t.target, t.u, CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0 END AS rate,
+  SELECT d.doc_id, d.source, d.size, t.source_size, t.target, t.m, CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0 END AS rate,
          (row_number() OVER (PARTITION BY d.source ORDER BY d.size, md5('mix-1:' || coalesce(d.doc_id::VARCHAR, '')), d.doc_id) - 1)::DOUBLE AS k
   FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
+), c AS (
+  SELECT k.*, j, floor(((m + j * 65536) % 1048576) / 1048576.0::DOUBLE + rate * (k + 1))::BIGINT - floor(((m + j * 65536) % 1048576) / 1048576.0::DOUBLE + rate * k)::BIGINT AS copies
+  FROM k, (SELECT unnest(range(0, 16)) AS j)
+), b AS (
+  SELECT source, j FROM c GROUP BY source, j, target QUALIFY row_number() OVER (PARTITION BY source ORDER BY abs(sum(copies * size) - target), j) = 1
 )
-SELECT doc_id, size, source_size, round(target, 4) AS target,
-       ((floor(u + rate * (k + 1))::BIGINT - floor(u + rate * k)::BIGINT) * size)::BIGINT AS taken FROM k
+SELECT doc_id, size, source_size, round(target, 4) AS target, (copies * size)::BIGINT AS taken FROM c JOIN b ON c.source IS NOT DISTINCT FROM b.source AND c.j = b.j
 """
