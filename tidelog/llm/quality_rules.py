@@ -23,7 +23,6 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from tidelog.llm.common import as_bytes, gram_hashes, text_col, word_hashes
 

@@ -42,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import M1, Rolling, as_bytes, drop_table, mix, release, shared_table, tasks_for, text_col
+from tidelog.llm.common import M1, Rolling, drop_table, mix, release, shared_table, tasks_for, text_col
 
 LENGTH = 400
 PRIME = 13
