@@ -25,6 +25,7 @@ from __future__ import annotations
 import os
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +38,7 @@ LENGTH = 2048
 END_ID = 1
 DIMS = 3
 ORDER = 10  # bits a dimension
+SEGMENT = 4096  # tokens of a row at most
 HASHED = 4096
 
 
@@ -47,42 +49,60 @@ def default_tokenizer() -> str:
 
 
 class WordTokenizer:
-    """Ids of whole texts, by way of each distinct word once."""
+    """Ids of whole texts, by way of each distinct word once.
 
-    CACHE = 400_000
+    Known words are sorted hashes with places in one buffer of ids; beyond CACHE
+    words it starts anew.
+    """
+
+    CACHE = 1_000_000
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the task has one core
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.known: dict[int, np.ndarray] = {}
+        self._forget()
+
+    def _forget(self) -> None:
+        self.keys, self.first, self.size = np.zeros(0, np.uint64), np.zeros(0, np.int32), np.zeros(0, np.int32)
+        self.ids = np.zeros(0, np.uint16)
+
+    def _learn(self, keys: np.ndarray, words: list[str]) -> None:
+        parts, sizes = [self.ids], []
+        for a in range(0, len(words), 20_000):
+            got = [x.ids for x in self.tok.encode_batch_fast(words[a : a + 20_000], add_special_tokens=False)]
+            sizes += map(len, got)
+            parts.append(np.fromiter(chain.from_iterable(got), np.uint16))
+        size = np.array(sizes, np.int32)
+        first = (len(self.ids) + np.cumsum(size) - size).astype(np.int32)
+        keys, first, size = (np.concatenate(x) for x in ((self.keys, keys), (self.first, first), (self.size, size)))
+        order = np.argsort(keys, kind="stable")
+        self.keys, self.first, self.size, self.ids = keys[order], first[order], size[order], np.concatenate(parts)
 
     def encode(self, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of all texts, END_ID after each, and the number for each text."""
         j = Joined(texts)
         s, e, h, counts = j.words()
+        if len(self.keys) > self.CACHE:
+            self._forget()
         keys, at, local = np.unique(h, return_index=True, return_inverse=True)
-        names = keys.tolist()
-        raw = j.data.tobytes()
-        fresh = [k for k, x in enumerate(names) if x not in self.known]
-        words = [raw[s[at[k]] : e[at[k]]].decode("utf-8", "replace") for k in fresh]
-        for a in range(0, len(fresh), 20_000):
-            got = self.tok.encode_batch(words[a : a + 20_000], add_special_tokens=False)
-            for k, x in zip(fresh[a : a + 20_000], got, strict=True):
-                self.known[names[k]] = np.array(x.ids, np.uint16)
-        each = [self.known[x] for x in names]
-        each.append(np.array([END_ID], np.uint16))
-        sizes = np.fromiter(map(len, each), np.int64, len(each))
-        flat = np.concatenate(each)
-        first = np.cumsum(sizes) - sizes
-        local = np.insert(local, np.cumsum(counts), len(each) - 1)  # the end of each text
-        n = sizes[local]
-        where = np.repeat(first[local] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-        ends = np.concatenate([[0], np.cumsum(n)])[np.cumsum(counts + 1)]
-        if len(self.known) > self.CACHE:
-            self.known = {}
-        return flat[where], np.diff(np.concatenate([[0], ends]))
+        place = np.searchsorted(self.keys, keys)
+        known = place < len(self.keys)
+        known[known] = self.keys[place[known]] == keys[known]
+        if not known.all():
+            raw, new = j.data.tobytes(), at[~known]
+            self._learn(keys[~known], [raw[a:b].decode("utf-8", "replace") for a, b in zip(s[new].tolist(), e[new].tolist(), strict=True)])
+            place = np.searchsorted(self.keys, keys)
+        flat = np.append(self.ids, np.uint16(END_ID))
+        ends = np.cumsum(counts)
+        first = np.insert(self.first[place][local], ends, len(flat) - 1)  # the end of each text
+        n = np.insert(self.size[place][local], ends, 1)
+        total = np.cumsum(n)
+        where = np.repeat(first - (total - n).astype(np.int32), n)
+        where += np.arange(len(where), dtype=np.int32)
+        stops = total[np.cumsum(counts + 1) - 1]
+        return flat[where], np.diff(np.concatenate([[0], stops]))
 
 
 def projection() -> np.ndarray:
@@ -132,21 +152,28 @@ def curve_keys(ids: np.ndarray, counts: np.ndarray, matrix: np.ndarray) -> np.nd
     return hilbert_keys(np.clip(grid, 0, (1 << ORDER) - 1))
 
 
-TOKENS = "doc_id long, row long, curve long, ids binary"
+TOKENS = "doc_id long, row long, curve long, start long, total long, ids binary"
 
 
 def tokenized(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """One row a document: its id, a row number, its place on the curve, its ids."""
+    """The documents' ids in segments, each with its document's place on the curve.
+
+    Range bounds are drawn by rows, so rows of bounded size make even ranges.
+    """
     path = path or default_tokenizer()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok, matrix, row = WordTokenizer(path), projection(), TaskContext.get().partitionId() << 36
-        for cols, texts in pieces(batches, ["doc_id"], "text"):
+        for cols, texts in pieces(batches, ["doc_id"], "text", 1 << 20):
             ids, counts = tok.encode(texts)
-            keys = curve_keys(ids, counts, matrix)
-            offsets = np.concatenate([[0], np.cumsum(counts * 2)]).astype(np.int32)
-            blob = pa.Array.from_buffers(pa.binary(), len(texts), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(ids))])
-            yield pa.RecordBatch.from_arrays([cols["doc_id"], pa.array(np.arange(row, row + len(texts))), pa.array(keys), blob], names=["doc_id", "row", "curve", "ids"])
+            n = -(-counts // SEGMENT)  # segments of each text
+            of = np.repeat(np.arange(len(texts)), n)
+            start = (np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)) * SEGMENT
+            size = np.minimum(counts[of] - start, SEGMENT)
+            offsets = np.concatenate([[0], np.cumsum(size * 2)]).astype(np.int32)
+            blob = pa.Array.from_buffers(pa.binary(), len(of), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(ids))])
+            parts = [cols["doc_id"].take(pa.array(of)), pa.array(row + of), pa.array(curve_keys(ids, counts, matrix)[of]), pa.array(start), pa.array(counts[of]), blob]
+            yield pa.RecordBatch.from_arrays(parts, names=[x.split()[0] for x in TOKENS.split(", ")])
             row += len(texts)
 
     return docs.select(docs["doc_id"].cast("long").alias("doc_id"), text_col(docs).alias("text")).mapInArrow(run, TOKENS)
@@ -178,19 +205,19 @@ def _lay_out(with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sequence, held, size, out = TaskContext.get().partitionId() << 36, [], 0, []
         for batch in batches:
-            for doc, curve, blob in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3), strict=True):
+            for doc, curve, start, total, blob in zip(*(batch.column(k).to_pylist() for k in (0, 2, 3, 4)), batch.column(5), strict=True):
                 ids = np.frombuffer(blob.as_buffer(), np.uint16)
-                held.append((doc, curve, len(ids), 0, ids))
+                held.append((doc, curve, total, start, ids))
                 size += len(ids)
                 if whole := size // LENGTH:
                     doc, curve, total, start, ids = held.pop()
                     rest = size - whole * LENGTH
                     held.append((doc, curve, total, start, ids[: len(ids) - rest]))
                     out += rows(held, sequence, [LENGTH] * whole)
-                    held = [(doc, curve, total, len(ids) - rest, ids[len(ids) - rest :].copy())] if rest else []
+                    held = [(doc, curve, total, start + len(ids) - rest, ids[len(ids) - rest :].copy())] if rest else []
                     sequence, size = sequence + whole, rest
                 else:
-                    held[-1] = (doc, curve, len(ids), 0, ids.copy())
+                    held[-1] = (doc, curve, total, start, ids.copy())
                 if len(out) >= 20_000 or with_ids and len(out) >= 500:
                     yield batch_of(out)
                     out = []
@@ -205,7 +232,7 @@ def _lay_out(with_ids: bool):
 def pack(docs: DataFrame, path: str | None = None, with_ids: bool = False) -> DataFrame:
     """Pieces of all documents, each with its sequence and place; ``ids`` if asked."""
     tokens = shared_table(tokenized(docs, path), "tokens")
-    laid = tokens.repartitionByRange(tasks_for(docs.sparkSession), "curve", "doc_id", "row").sortWithinPartitions("curve", "doc_id", "row")
+    laid = tokens.repartitionByRange(tasks_for(docs.sparkSession), "curve", "doc_id", "row", "start").sortWithinPartitions("curve", "doc_id", "row", "start")
     return laid.mapInArrow(_lay_out(with_ids), PIECES + ", ids array<int>" * with_ids)
 
 
