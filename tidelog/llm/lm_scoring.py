@@ -37,7 +37,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import M1, Joined, gram_hashes, id_crc, mix, pieces, shared_table, tasks_for, text_col
+from tidelog.llm.common import M1, Joined, drop_table, id_crc, mix, pieces, release, shared_table, tasks_for, text_col
 
 END = np.uint64(0x1D0C5E17A9B3F251)
 START = np.uint64(0x7A3E5D9160C8B24F)
@@ -362,7 +362,9 @@ def score_documents(docs: DataFrame, train=None) -> DataFrame:
     parts = tasks_for(spark)
     shift = 64 - max(SEGMENTS, 1 << (parts - 1).bit_length()).bit_length() + 1
     answers = shared_table(chunks.mapInArrow(_ask(shift), ASK).repartition(parts, "bucket").mapInArrow(_answer, ANSWER), "lm-counts")
+    release(spark)
     pairs = shared_table(chunks.mapInArrow(_count_pairs(shift), PAIRS).repartition(parts, "bucket").mapInArrow(_sum_pairs, LEVELS), "lm-pairs")
+    release(spark)
     stats = answers.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("v"), F.lit(0))).first()
     starts = d.filter("train").count()
     hists = [t.select(F.posexplode("hist").alias("q", "n")).groupBy("q").agg(F.sum("n").alias("n")).collect() for t in (answers.filter("hist is not null"), pairs)]
@@ -373,6 +375,7 @@ def score_documents(docs: DataFrame, train=None) -> DataFrame:
     bits = bytearray(FILTER_BYTES)  # SEGMENTS rows of a fixed size
     for row in built.toLocalIterator():
         bits[row["segment"] << (SEGMENT_BITS - 3) : (row["segment"] + 1) << (SEGMENT_BITS - 3)] = row["bits"]
+    drop_table(pairs)
     model = spark.sparkContext.broadcast(zstandard.compress(bytes(bits)))  # each executor keeps a file of it
     del bits
     told = answers.filter("chunk is not null").select("chunk", F.lit(0).alias("last"), "at", "counts")
