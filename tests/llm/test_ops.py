@@ -398,3 +398,43 @@ def test_log_bloom_errs_upwards_only():
     assert (bloom.levels(rng.integers(0, 2**63, 4000).astype(np.uint64)) == 0).mean() > 0.99
     value = lm_scoring.value_of(levels)
     assert (np.abs(np.log2(value / counts)) <= 0.5).all()
+
+
+def test_lm_filter_grows_with_its_insertions(monkeypatch):
+    monkeypatch.setattr(lm_scoring, "SEGMENT_BITS", 12)  # 64 such segments are 32,768 insertions at 8 bits
+    rng = np.random.default_rng(3)
+    keys = np.unique(rng.integers(0, 2**56, 40_000).astype(np.uint64))
+    levels = lm_scoring.level_of(rng.integers(1, 30, len(keys)))
+    bloom = lm_scoring.LogBloom.of(keys, levels, 8)
+    assert bloom.segments > lm_scoring.SEGMENTS
+    read = bloom.levels(keys)
+    assert (read >= levels).all() and (read == levels).mean() > 0.95
+    assert lm_scoring.buckets_for(30 << 31) > lm_scoring.buckets_for(1 << 31) > lm_scoring.buckets_for(0)
+
+
+def test_lm_scores_equal_a_plain_model(spark, docs, rows, folder):
+    docs_, words, pairs = [], Counter(), Counter()
+    for r in rows:
+        w = plain.words(plain.lower(r[1])) + [None]
+        held = zlib.crc32(("" if r[0] is None else str(r[0])).encode()) % 10 == 0
+        docs_.append((str(r[0]), w))
+        if not held:
+            words.update(w)
+            pairs.update(zip(["start", *((x,) for x in w)], w))
+    starts = sum(n for (a, _), n in pairs.items() if a == "start")
+    total, distinct = sum(words.values()), len(words)
+
+    def value(n):
+        return float(lm_scoring.value_of(lm_scoring.level_of(np.array([n])))[0]) if n else 0.0
+
+    want = []
+    for name, w in docs_:
+        at, score = "start", 0.0
+        for x in w:
+            ctx = starts if at == "start" else value(words[at[0]])
+            uni = (value(words[x]) + lm_scoring.ALPHA) / (total + lm_scoring.ALPHA * (distinct + 1))
+            score += math.log10((min(value(pairs[at, x]), ctx) + lm_scoring.MU * uni) / (ctx + lm_scoring.MU))
+            at = (x,)
+        want.append((name, round(score, 4)))
+    got = [(str(r["doc_id"]), round(r["score"], 4)) for r in lm_scoring.query(spark, folder(documents=docs)).collect()]
+    assert sum((Counter(want) - Counter(got)).values()) <= len(want) // 20  # the filter may err upwards

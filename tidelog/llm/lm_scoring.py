@@ -2,23 +2,25 @@
 
 Counts of words and word pairs of the training rows are quantised on a
 logarithmic scale (steps of the square root of two). An n-gram of level q is
-put into one Bloom filter under the keys (n-gram, 1) ... (n-gram, q). The filter
-has a fixed size and is broadcast; a count is read back by probing level after
-level until one is missing. Errors are one-sided: a count may be read too high.
+put into one Bloom filter under the keys (n-gram, 1) ... (n-gram, q); a count is
+read back by probing level after level until one is missing. Errors are
+one-sided: a count may be read too high.
 
 Smoothing: P(w | v) = (c(v, w) + MU * P(w)) / (c(v) + MU), where P(w) is the
 additive estimate, and every c comes from the filter.
 
-The filter's size is the bound on what is broadcast (FILTER_BYTES). If the
-n-grams would not fit at BITS_EACH bits an insertion, the lowest levels of the
-pairs are left out, from one count for all pairs, found from the histogram of
-levels over all data; words always go in whole.
+The filter grows with the input. It is dealt by hash into buckets, whose number
+follows the number of tokens (BUCKET_TOKENS), and a bucket's part has as many
+segments as its insertions need at BITS_EACH bits each, a key of level q being q
+insertions. No n-gram is left out, and no part of the filter is broadcast.
 
-Exact counts for the base score are not broadcast. The tokens of the corpus are
-written once as chunks: a chunk holds its distinct words and, for its
-documents, indices into them. The distinct words of all chunks meet in buckets
-by hash; a bucket sums the training counts and answers every chunk that asked.
-So a frequent word costs one entry a chunk, never one a document.
+The tokens of the corpus are written once as chunks: a chunk holds its distinct
+words and, for its documents, indices into them. The distinct words and word
+pairs of all chunks meet in buckets with their training counts; a bucket sums
+the counts, builds its part of the filter and answers every chunk that asked,
+with exact counts of words for the base score and with what the filter reads
+for the model. So a frequent word or pair costs one entry a chunk, never one a
+document.
 
 Words are known by 64-bit hashes. Null text: empty, one token (the end). A null
 doc_id is kept; its crc32 is that of the empty text, so it is held out. Repeated
@@ -32,19 +34,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import M1, Joined, drop_table, id_crc, mix, pieces, release, shared_table, tasks_for, text_col
+from tidelog.llm.common import M1, Joined, id_crc, mix, pieces, release, shared_table, tasks_for, text_col
 
 END = np.uint64(0x1D0C5E17A9B3F251)
 START = np.uint64(0x7A3E5D9160C8B24F)
 CHUNK_TOKENS = 1_000_000
 SEGMENT_BITS = 23
-SEGMENTS = 64
+SEGMENTS = 64  # of a filter that stands alone
 FILTER_BYTES = SEGMENTS << (SEGMENT_BITS - 3)
+#: Tokens of the corpus a bucket, and the least number of buckets.
+BUCKET_TOKENS = 1 << 21
+LEAST_BUCKETS = 256
 HASHES = 4
 BITS_EACH = 8
 MAX_LEVEL = 80
@@ -75,8 +79,9 @@ def _spots(keys: np.ndarray, level: np.ndarray | int) -> Iterator[np.ndarray]:
         yield (h + np.uint64(k) * step) & np.uint64((1 << SEGMENT_BITS) - 1)
 
 
-def segment_of(keys: np.ndarray) -> np.ndarray:
-    return keys >> np.uint64(64 - SEGMENTS.bit_length() + 1)
+def segment_of(keys: np.ndarray, segments: int = SEGMENTS, skip: int = 0) -> np.ndarray:
+    """A key's segment, from the 32 bits after its first ``skip``."""
+    return (((keys << np.uint64(skip)) >> np.uint64(32)) * np.uint64(segments)) >> np.uint64(32)
 
 
 def insert(bits: np.ndarray, keys: np.ndarray, levels: np.ndarray) -> None:
@@ -89,15 +94,33 @@ def insert(bits: np.ndarray, keys: np.ndarray, levels: np.ndarray) -> None:
         keys, levels, at = keys[on], levels[on], at + 1
 
 
-class LogBloom:
-    """Read side of the filter: packed bits of all segments."""
+def segments_for(levels: np.ndarray) -> int:
+    """Segments that hold keys of these levels at BITS_EACH bits an insertion."""
+    return max(1, -(-int(levels.sum()) * BITS_EACH // (1 << SEGMENT_BITS)))
+
 
-    def __init__(self, packed: np.ndarray):
-        self.packed = packed
+class LogBloom:
+    """Packed bits of all segments; ``skip`` leading bits are the same in all keys."""
+
+    def __init__(self, packed: np.ndarray, skip: int = 0):
+        self.packed, self.skip = packed, skip
+        self.segments = len(packed) >> (SEGMENT_BITS - 3)
+
+    @classmethod
+    def of(cls, keys: np.ndarray, levels: np.ndarray, skip: int = 0) -> LogBloom:
+        """A filter of the size that the keys need."""
+        n = segments_for(levels)
+        seg = segment_of(keys, n, skip)
+        packed = np.empty((n, 1 << (SEGMENT_BITS - 3)), np.uint8)
+        for s in range(n):
+            one = np.zeros(1 << SEGMENT_BITS, bool)
+            insert(one, keys[seg == s], levels[seg == s])
+            packed[s] = np.packbits(one)
+        return cls(packed.ravel(), skip)
 
     def levels(self, keys: np.ndarray) -> np.ndarray:
         out = np.zeros(len(keys), np.int64)
-        live, base, at = np.arange(len(keys)), segment_of(keys) << np.uint64(SEGMENT_BITS), 1
+        live, base, at = np.arange(len(keys)), segment_of(keys, self.segments, self.skip) << np.uint64(SEGMENT_BITS), 1
         while len(live) and at <= MAX_LEVEL:
             hit = np.ones(len(live), bool)
             for spot in _spots(keys[live], at):
@@ -111,8 +134,8 @@ class LogBloom:
 
 # ------------------------------------------------------------------ the chunks
 
-_CHUNK = pa.schema([("chunk", pa.int64()), ("ids", pa.binary()), ("flags", pa.binary()), ("sizes", pa.binary()), ("tokens", pa.binary()), ("words", pa.binary())])
-CHUNK = "chunk long, ids binary, flags binary, sizes binary, tokens binary, words binary"
+_CHUNK = pa.schema([("chunk", pa.int64()), ("n", pa.int64()), ("ids", pa.binary()), ("flags", pa.binary()), ("sizes", pa.binary()), ("tokens", pa.binary()), ("words", pa.binary())])
+CHUNK = "chunk long, n long, ids binary, flags binary, sizes binary, tokens binary, words binary"
 
 
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -122,7 +145,7 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         nonlocal n, held
         ids, flags, sizes, hashes = (np.concatenate(x) for x in zip(*held, strict=True))
         words, local = np.unique(hashes, return_inverse=True)
-        row = [[(task << 32) | n], *([x.tobytes()] for x in (ids, flags, sizes.astype(np.int32), local.astype(np.int32), words))]
+        row = [[(task << 32) | n], [len(hashes)], *([x.tobytes()] for x in (ids, flags, sizes.astype(np.int32), local.astype(np.int32), words))]
         held, n = [], n + 1
         return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(row, _CHUNK, strict=True)], schema=_CHUNK)
 
@@ -179,156 +202,105 @@ def summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return k[at], np.add.reduceat(counts[order], at)
 
 
-# ----------------------------------------------------- exact counts, by bucket
-
-ASK = "bucket int, chunk long, words binary, at binary, counts binary"
-
-
-def _ask(shift: int):
-    """Each chunk's distinct words with its own training counts, by hash bucket."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for row in _rows(batches):
-            c = Chunk(row)
-            own = np.bincount(c.tokens[np.repeat(c.train, c.sizes)], minlength=len(c.words)).astype(np.int64)
-            bucket = (c.words >> np.uint64(shift)).astype(np.int64)
-            cut = np.searchsorted(bucket, np.arange(bucket[-1] + 2)) if len(bucket) else []
-            out = [(k, row["chunk"], c.words[a:b].tobytes(), np.arange(a, b, dtype=np.int32).tobytes(), own[a:b].tobytes()) for k, (a, b) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if b > a]
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary()), strict=True)], names=["bucket", "chunk", "words", "at", "counts"])
+# ------------------------------------------------ counts and filter, by bucket
 
-    return run
+ASK = "bucket int, chunk long, words binary, word_counts binary, pairs binary, pair_counts binary"
+ANSWER = "bucket int, chunk long, counts binary, word_levels binary, pair_levels binary, n long, v long"
+_KINDS = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
 
 
-ANSWER = "chunk long, at binary, counts binary, n long, v long, hist array<long>, words binary, levels binary"
+def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
+    names, kinds = zip(*(x.split() for x in schema.split(", ")), strict=True)
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], _KINDS[t]) for k, t in enumerate(kinds)], names=list(names))
 
 
-def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sum the counts of a task's words and answer every chunk that asked."""
-    asked = [(r["chunk"], np.frombuffer(r["words"], np.uint64), r["at"], np.frombuffer(r["counts"], np.int64)) for r in _rows(batches)]
-    if not asked:
-        return
-    keys, counts = summed(np.concatenate([x[1] for x in asked]), np.concatenate([x[3] for x in asked]))
-    names = [x.split()[0] for x in ANSWER.split(", ")]
-    kinds = [pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.binary()]
-    for chunk, words, at, _ in asked:
-        got = counts[np.searchsorted(keys, words)]
-        yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((chunk, at, got.tobytes(), None, None, None, None, None), kinds, strict=True)], names=names)
-    known = counts > 0
-    levels = level_of(counts[known])
-    row = (None, None, None, int(counts.sum()), int(known.sum()), np.bincount(levels, minlength=MAX_LEVEL + 1).tolist(), keys[known].tobytes(), levels.astype(np.uint8).tobytes())
-    yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, kinds, strict=True)], names=names)
+def packed(keys: np.ndarray) -> bytes:
+    """Sorted keys as differences, byte plane after byte plane: the high ones are zero and compress away."""
+    return np.diff(keys, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T.tobytes()
 
 
-# ------------------------------------------------------------------ word pairs
+def unpacked(raw: bytes) -> np.ndarray:
+    return np.cumsum(np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(8, -1).T).view(np.uint64).ravel(), dtype=np.uint64)
 
-PAIRS = "bucket int, keys binary, counts binary"
-_PAIRS = [("bucket", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary())]
 
+def buckets_for(tokens: int) -> int:
+    """A power of two that follows the number of tokens."""
+    return max(LEAST_BUCKETS, 1 << max(0, tokens // BUCKET_TOKENS).bit_length())
 
-def _by_bucket(keys: np.ndarray, counts: np.ndarray, shift: int) -> pa.RecordBatch:
-    bucket = (keys >> np.uint64(shift)).astype(np.int64)
-    edge = np.concatenate([[0], np.flatnonzero(bucket[1:] != bucket[:-1]) + 1, [len(keys)]]) if len(keys) else [0]
-    out = [(int(bucket[a]), keys[a:b].tobytes(), counts[a:b].astype(np.int32).tobytes()) for a, b in zip(edge[:-1], edge[1:], strict=True)]
-    return pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], t) for k, (_, t) in enumerate(_PAIRS)], names=[n for n, _ in _PAIRS])
 
+def _ask(bits: int):
+    """Each chunk's distinct words and pairs with its own training counts, by the first ``bits`` of the hash."""
 
-def _count_pairs(shift: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
         for row in _rows(batches):
             c = Chunk(row)
-            held.append(c.pairs()[np.repeat(c.train, c.sizes)])
-            size += len(held[-1])
-            if size >= 6 * CHUNK_TOKENS:
-                yield _by_bucket(*np.unique(np.concatenate(held), return_counts=True), shift)
-                held, size = [], 0
-        if size:
-            yield _by_bucket(*np.unique(np.concatenate(held), return_counts=True), shift)
+            pairs, local = np.unique(c.pairs(), return_inverse=True)
+            train = np.repeat(c.train, c.sizes)
+            asked = []
+            for keys, at in ((c.words, c.tokens), (pairs, local)):
+                cut = np.searchsorted(keys >> np.uint64(64 - bits), np.arange((1 << bits) + 1, dtype=np.uint64))
+                asked.append((keys, np.bincount(at[train], minlength=len(keys)).astype(np.int32), cut.tolist()))
+            out = []
+            for k in range(1 << bits):
+                if any(cut[k] < cut[k + 1] for _, _, cut in asked):
+                    out.append((k, row["chunk"], *(x for keys, own, cut in asked for x in (packed(keys[cut[k] : cut[k + 1]]), own[cut[k] : cut[k + 1]].tobytes()))))
+            yield _batch(out, ASK)
 
     return run
 
 
-LEVELS = "hist array<long>, keys binary, levels binary"
-
-
-def _sum_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Total counts of a task's pairs; only their levels go on, packed."""
-    got = [(np.frombuffer(r["keys"], np.uint64), np.frombuffer(r["counts"], np.int32)) for r in _rows(batches)]
-    if not got:
-        return
-    keys, counts = summed(np.concatenate([x[0] for x in got]), np.concatenate([x[1] for x in got]).astype(np.int64))
-    del got
-    levels = level_of(counts)
-    for a in range(0, len(keys), 1 << 20):
-        k, q = keys[a : a + (1 << 20)], levels[a : a + (1 << 20)]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([np.bincount(q, minlength=MAX_LEVEL + 1).tolist()], pa.list_(pa.int64())), pa.array([k.tobytes()], pa.binary()), pa.array([q.astype(np.uint8).tobytes()], pa.binary())],
-            names=["hist", "keys", "levels"],
-        )
+def _total(rows: list[dict], name: str) -> tuple[np.ndarray, np.ndarray]:
+    keys = np.concatenate([r[name + "s"] for r in rows])
+    return summed(keys, np.concatenate([np.frombuffer(r[name + "_counts"], np.int32) for r in rows]).astype(np.int64))
 
 
-def lowest_level(words: list[int], pairs: list[int], room: int) -> int:
-    """The level from which pairs are stored so that all insertions fit in ``room``."""
-    left = room - sum(q * n for q, n in enumerate(words))
-    for low in range(1, MAX_LEVEL + 1):
-        if sum((q - low + 1) * n for q, n in enumerate(pairs) if q >= low) <= left:
-            return low
-    return MAX_LEVEL + 1
+def _answer(bits: int):
+    """Sum the counts of a bucket, build its filter, answer every chunk that asked."""
 
-
-def _segments(low: int):
-    """A task's n-grams as bit segments; ``low`` is the first level kept of pairs."""
+    def told(rows: list[dict]) -> pa.RecordBatch:
+        words, counts = _total(rows, "word")
+        pairs, pair_counts = _total(rows, "pair")
+        every = np.concatenate([counts, pair_counts])
+        known = every > 0
+        bloom = LogBloom.of(np.concatenate([words, pairs])[known], level_of(every[known]), bits)
+        word_levels, pair_levels = (bloom.levels(x).astype(np.uint8) for x in (words, pairs))
+        out, bucket = [], rows[0]["bucket"]
+        for r in rows:
+            w, p = (np.searchsorted(all_, r[name]) for all_, name in ((words, "words"), (pairs, "pairs")))
+            out.append((bucket, r["chunk"], counts[w].tobytes(), word_levels[w].tobytes(), pair_levels[p].tobytes(), None, None))
+        out.append((bucket, None, None, None, None, int(counts.sum()), int((counts > 0).sum())))
+        return _batch(out, ANSWER)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits: dict[int, np.ndarray] = {}
-        for row in _rows(batches):
-            keys, levels = np.frombuffer(row["keys"], np.uint64), np.frombuffer(row["levels"], np.uint8).astype(np.int64)
-            if row["pair"]:
-                keys, levels = keys[levels >= low], levels[levels >= low]
-            seg = segment_of(keys)
-            for s in np.unique(seg).tolist():
-                if s not in bits:
-                    bits[s] = np.zeros(1 << (SEGMENT_BITS - 3), np.uint8)
-                one = np.zeros(1 << SEGMENT_BITS, bool)
-                insert(one, keys[seg == s], levels[seg == s])
-                bits[s] |= np.packbits(one)
-            if len(bits) >= 8:
-                yield from _out(bits)
-                bits = {}
-        yield from _out(bits)
+        held: list[dict] = []
+        for row in _rows(batches):  # sorted by bucket
+            if held and row["bucket"] != held[0]["bucket"]:
+                yield told(held)
+                held = []
+            held.append(row | {x: unpacked(row[x]) for x in ("words", "pairs")})
+        if held:
+            yield told(held)
 
     return run
 
 
-def _out(bits: dict[int, np.ndarray]) -> Iterator[pa.RecordBatch]:
-    for s, b in bits.items():
-        yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([b.tobytes()], pa.binary())], names=["segment", "bits"])
-
-
-def _merge_segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    bits: dict[int, np.ndarray] = {}
-    for row in _rows(batches):
-        b = np.frombuffer(row["bits"], np.uint8)
-        bits[row["segment"]] = bits[row["segment"]] | b if row["segment"] in bits else b
-    yield from _out(bits)
-
-
 # -------------------------------------------------------------------- scoring
 
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
-def _score(model, total: int, distinct: int, starts: int):
-    def per_chunk(row: dict, counts: np.ndarray, bloom: LogBloom) -> pa.RecordBatch:
+def _score(total: int, distinct: int, starts: int):
+    def per_chunk(row: dict, counts: np.ndarray, word_levels: np.ndarray, pair_levels: np.ndarray) -> pa.RecordBatch:
         c = Chunk(row)
         base = np.log10((counts + ALPHA) / (total + ALPHA * (distinct + 1)))
-        seen = value_of(bloom.levels(c.words))  # the model's own counts
+        seen = value_of(word_levels)  # the model's own counts
         uni = (seen + ALPHA) / (total + ALPHA * (distinct + 1))
         tok = c.tokens
         ctx = np.empty(len(tok))
         ctx[1:] = seen[tok[:-1]]
         ctx[c.first] = starts
-        both = np.minimum(value_of(bloom.levels(c.pairs())), ctx)
+        _, pair = np.unique(c.pairs(), return_inverse=True)
+        both = np.minimum(value_of(pair_levels)[pair], ctx)
         model_log = np.log10((both + MU * uni[tok]) / (ctx + MU))
         parts = (c.ids, ~c.train, c.sizes, np.add.reduceat((counts > 0).astype(np.int64)[tok], c.first), np.full(len(c.ids), total), np.add.reduceat(base[tok], c.first), np.add.reduceat(model_log, c.first))
         kinds = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
@@ -336,18 +308,15 @@ def _score(model, total: int, distinct: int, starts: int):
         return pa.RecordBatch.from_arrays(arrays, names=[x.split()[0] for x in SCORES.split(", ")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bloom, chunk, counts = None, None, None
-        for row in _rows(batches):  # a chunk's answers come before the chunk
+        chunk, told = None, []
+        for row in _rows(batches):  # a chunk's answers come before the chunk, in the order of buckets, which is that of hashes
             if row["chunk"] != chunk:
-                chunk, counts = row["chunk"], []
-            if row["last"] == 0:
-                counts.append((row["at"], row["counts"]))
+                chunk, told = row["chunk"], []
+            if row["bucket"] is not None:
+                told.append((row["counts"], row["word_levels"], row["pair_levels"]))
                 continue
-            bloom = bloom or LogBloom(np.frombuffer(zstandard.decompress(model.value), np.uint8))
-            exact = np.zeros(len(row["words"]) // 8, np.int64)
-            for at, got in counts:
-                exact[np.frombuffer(at, np.int32)] = np.frombuffer(got, np.int64)
-            yield per_chunk(row, exact, bloom)
+            counts, word_levels, pair_levels = (np.frombuffer(b"".join(x), t) for x, t in zip(zip(*told, strict=True), (np.int64, np.uint8, np.uint8), strict=True))
+            yield per_chunk(row, counts, word_levels.astype(np.int64), pair_levels.astype(np.int64))
 
     return run
 
@@ -360,28 +329,18 @@ def score_documents(docs: DataFrame, train=None) -> DataFrame:
     d = docs.select(docs["doc_id"].cast("long").alias("doc_id"), text_col(docs).alias("text"), train.alias("train"))
     chunks = shared_table(d.mapInArrow(_chunks, CHUNK), "lm-chunks")
     parts = tasks_for(spark)
-    shift = 64 - max(SEGMENTS, 1 << (parts - 1).bit_length()).bit_length() + 1
-    answers = shared_table(chunks.mapInArrow(_ask(shift), ASK).repartition(parts, "bucket").mapInArrow(_answer, ANSWER), "lm-counts")
-    release(spark)
-    pairs = shared_table(chunks.mapInArrow(_count_pairs(shift), PAIRS).repartition(parts, "bucket").mapInArrow(_sum_pairs, LEVELS), "lm-pairs")
+    bits = buckets_for(chunks.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]).bit_length() - 1
+    asked = chunks.mapInArrow(_ask(bits), ASK).repartition(parts, "bucket").sortWithinPartitions("bucket")
+    answers = shared_table(asked.mapInArrow(_answer(bits), ANSWER), "lm-answers")
+    del asked
     release(spark)
     stats = answers.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("v"), F.lit(0))).first()
     starts = d.filter("train").count()
-    hists = [t.select(F.posexplode("hist").alias("q", "n")).groupBy("q").agg(F.sum("n").alias("n")).collect() for t in (answers.filter("hist is not null"), pairs)]
-    hists = [[dict(map(tuple, h)).get(q, 0) for q in range(MAX_LEVEL + 1)] for h in hists]
-    low = lowest_level(*hists, FILTER_BYTES * 8 // BITS_EACH)
-    grams = pairs.select("keys", "levels", F.lit(True).alias("pair")).unionByName(answers.filter("hist is not null").select(F.col("words").alias("keys"), "levels", F.lit(False).alias("pair")))
-    built = grams.mapInArrow(_segments(low), "segment int, bits binary").repartition(min(parts, SEGMENTS), "segment").mapInArrow(_merge_segments, "segment int, bits binary")
-    bits = bytearray(FILTER_BYTES)  # SEGMENTS rows of a fixed size
-    for row in built.toLocalIterator():
-        bits[row["segment"] << (SEGMENT_BITS - 3) : (row["segment"] + 1) << (SEGMENT_BITS - 3)] = row["bits"]
-    drop_table(pairs)
-    model = spark.sparkContext.broadcast(zstandard.compress(bytes(bits)))  # each executor keeps a file of it
-    del bits
-    told = answers.filter("chunk is not null").select("chunk", F.lit(0).alias("last"), "at", "counts")
-    both = chunks.withColumn("last", F.lit(1)).unionByName(told, allowMissingColumns=True)
-    laid = both.repartition(parts, "chunk").sortWithinPartitions("chunk", "last")
-    return laid.mapInArrow(_score(model, int(stats[0]), int(stats[1]), starts), SCORES)
+    release(spark)  # the last job before a call is still referred to
+    told = answers.filter("chunk is not null").drop("n", "v")
+    both = chunks.drop("n").unionByName(told, allowMissingColumns=True)
+    laid = both.repartition(parts, "chunk").sortWithinPartitions("chunk", F.asc_nulls_last("bucket"))
+    return laid.mapInArrow(_score(int(stats[0]), int(stats[1]), starts), SCORES)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
