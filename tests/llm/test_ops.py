@@ -438,3 +438,15 @@ def test_lm_scores_equal_a_plain_model(spark, docs, rows, folder):
         want.append((name, round(score, 4)))
     got = [(str(r["doc_id"]), round(r["score"], 4)) for r in lm_scoring.query(spark, folder(documents=docs)).collect()]
     assert sum((Counter(want) - Counter(got)).values()) <= len(want) // 20  # the filter may err upwards
+
+
+def test_lm_filter_charges_every_level(monkeypatch):
+    monkeypatch.setattr(lm_scoring, "SEGMENT_BITS", 15)
+    rng = np.random.default_rng(4)
+    keys = np.unique(rng.integers(0, 2**64, 20_000, np.uint64))
+    levels = np.full(len(keys), 21)  # far more insertions than keys
+    bloom = lm_scoring.LogBloom.of(keys, levels)
+    assert len(bloom.packed) * 8 >= lm_scoring.BITS_EACH * levels.sum()
+    assert np.unpackbits(bloom.packed).mean() < 0.41  # 1 - exp(-4 hashes / 8 bits)
+    assert (bloom.levels(rng.integers(0, 2**64, 20_000, np.uint64)) > 0).mean() < 0.035
+    assert (bloom.levels(keys) == 21).mean() > 0.96
