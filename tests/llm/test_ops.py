@@ -450,3 +450,14 @@ def test_lm_filter_charges_every_level(monkeypatch):
     assert np.unpackbits(bloom.packed).mean() < 0.41  # 1 - exp(-4 hashes / 8 bits)
     assert (bloom.levels(rng.integers(0, 2**64, 20_000, np.uint64)) > 0).mean() < 0.035
     assert (bloom.levels(keys) == 21).mean() > 0.96
+
+
+@pytest.mark.parametrize("deep", [100, 3000])
+def test_deep_nesting_keeps_the_text_after_it(deep):
+    rows = [f"<div id=wrap><article>{'<div>' * deep}<p>inner {k}</p>{'</div>' * deep}<p>after {k}</p><div class=comments>{'<div>' * deep}x{'</div>' * deep}no {k}</div></article></div>" for k in range(6)]
+    parsed = [html_extraction.parse(x) for x in rows]
+    w = html_extraction.HostWrapper(html_extraction.tree_of(parsed[0]), ["0"])
+    for k in range(1, 6):
+        w.add(html_extraction.HostWrapper(html_extraction.tree_of(parsed[k]), [str(k)]))
+    w = html_extraction.HostWrapper.loads(w.finish().dumps())
+    assert [html_extraction.main_text(x, w) for x in parsed] == [f"inner {k} after {k}" for k in range(6)]

@@ -20,7 +20,7 @@ template.
 Null html or url: empty text, or a host of its own without a wrapper. Repeated
 rows give equal texts. Empty tables give empty tables. Extra columns are ignored.
 Broken markup never fails: end tags without a start are skipped, missing end
-tags are closed by their parents, nesting beyond DEEP levels is flattened.
+tags are closed by their parents. Nesting may have any depth.
 """
 
 from __future__ import annotations
@@ -28,6 +28,7 @@ from __future__ import annotations
 import html
 import json
 import re
+from collections import Counter
 from collections.abc import Iterator
 from hashlib import blake2b
 
@@ -37,7 +38,6 @@ from pyspark.sql import functions as F
 
 from tidelog.llm.common import shared_table, tasks_for
 
-DEEP = 60
 #: A node is template if it stood on so many pages, always with the same text,
 LEAST_PAGES = 4
 #: and on such a share of the pages of the wrapper.
@@ -79,6 +79,7 @@ class Node:
 def parse(text: str) -> Node:
     root = Node("#root", {})
     stack, at, end = [root], 0, len(text)
+    opened: Counter[str] = Counter()  # so that an end tag without a start need not search the stack
     while at < end:
         m = _TOKEN.search(text, at)
         if not m:
@@ -89,9 +90,9 @@ def parse(text: str) -> Node:
         at = m.end()
         if name := m[1]:
             name = name.lower()
-            for k in range(len(stack) - 1, 0, -1):
+            for k in range(len(stack) - 1, 0, -1) if opened[name] else ():
                 if stack[k].tag == name:
-                    del stack[k:]
+                    _close(stack, k, opened)
                     break
             continue
         if not m[2]:
@@ -101,7 +102,7 @@ def parse(text: str) -> Node:
         name = m[2].lower()
         rest = m[3]
         attrs = {a.lower(): b or c or d or "" for a, b, c, d in _ATTR.findall(rest)} if len(rest) > 1 else {}
-        _imply(stack, name)
+        _imply(stack, name, opened)
         node = Node(name, attrs)
         stack[-1].kids.append(node)
         if name in RAW:
@@ -109,8 +110,9 @@ def parse(text: str) -> Node:
             if name == "title" or name == "textarea":
                 node.kids.append(html.unescape(text[at : close.start() if close else end]))
             at = close.end() if close else end
-        elif name not in VOID and not rest.endswith("/>") and len(stack) < DEEP:
+        elif name not in VOID and not rest.endswith("/>"):
             stack.append(node)
+            opened[name] += 1
     return root
 
 
@@ -118,13 +120,21 @@ _SAME = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td"
 _WALLS = {"ul", "ol", "dl", "table", "article", "section", "div", "main", "nav", "aside", "footer", "header", "form", "body", "select", "#root"}
 
 
-def _imply(stack: list[Node], name: str) -> None:
+def _close(stack: list[Node], k: int, opened: Counter[str]) -> None:
+    for x in stack[k:]:
+        opened[x.tag] -= 1
+    del stack[k:]
+
+
+def _imply(stack: list[Node], name: str, opened: Counter[str]) -> None:
     """Close what a start tag closes without an end tag."""
     shut = _SAME.get(name, set()) | ({"p"} if name in CLOSES_P else set())
+    if not any(opened[x] for x in shut):
+        return
     for k in range(len(stack) - 1, 0, -1):
         tag = stack[k].tag
         if tag in shut:
-            del stack[k:]
+            _close(stack, k, opened)
             return
         if tag in _WALLS:
             return
@@ -163,7 +173,37 @@ def _mark(text: str) -> str:
 
 
 def tree_of(node: Node) -> list:
-    return [node.label, 1, _mark(node.own_text()), [tree_of(k) for k in node.kids if isinstance(k, Node)]]
+    out: list = []
+    todo = [(node, out)]
+    while todo:
+        x, into = todo.pop()
+        at = [x.label, 1, _mark(x.own_text()), []]
+        into.append(at)
+        todo += [(k, at[3]) for k in reversed(x.kids) if isinstance(k, Node)]
+    return out[0]
+
+
+def flat(tree: list) -> list:
+    """A tree as its nodes in preorder, the number of children in place of the children."""
+    out, todo = [], [tree]
+    while todo:
+        x = todo.pop()
+        out.append([*x[:3], len(x[3])])
+        todo += reversed(x[3])
+    return out
+
+
+def unflat(nodes: list) -> list:
+    open_ = [[None, 0, None, top := []]]
+    left = [1]
+    for x in nodes:
+        while not left[-1]:
+            open_.pop(), left.pop()
+        left[-1] -= 1
+        kids, x[3] = x[3], []
+        open_[-1][3].append(x)
+        open_.append(x), left.append(kids)
+    return top[0]
 
 
 def _pairs(a: list, b: list) -> list[tuple[int, int]]:
@@ -244,11 +284,12 @@ class HostWrapper:
         return self
 
     def dumps(self) -> bytes:
-        return json.dumps([self.tree, self.seen], separators=(",", ":")).encode()
+        return json.dumps([flat(self.tree), self.seen], separators=(",", ":")).encode()
 
     @classmethod
     def loads(cls, raw: bytes) -> HostWrapper:
-        return cls(*json.loads(raw))
+        nodes, seen = json.loads(raw)
+        return cls(unflat(nodes), seen)
 
     def template_of(self, page: Node) -> set[int]:
         """ids of the page's nodes that align with constant nodes.
