@@ -456,8 +456,21 @@ def test_lm_filter_charges_every_level(monkeypatch):
 def test_deep_nesting_keeps_the_text_after_it(deep):
     rows = [f"<div id=wrap><article>{'<div>' * deep}<p>inner {k}</p>{'</div>' * deep}<p>after {k}</p><div class=comments>{'<div>' * deep}x{'</div>' * deep}no {k}</div></article></div>" for k in range(6)]
     parsed = [html_extraction.parse(x) for x in rows]
-    w = html_extraction.HostWrapper(html_extraction.tree_of(parsed[0]), ["0"])
+    w = html_extraction.HostWrapper(html_extraction.tree_of(parsed[0], "0"), ["0"])
     for k in range(1, 6):
-        w.add(html_extraction.HostWrapper(html_extraction.tree_of(parsed[k]), [str(k)]))
+        w.add(html_extraction.HostWrapper(html_extraction.tree_of(parsed[k], str(k)), [str(k)]))
     w = html_extraction.HostWrapper.loads(w.finish().dumps())
     assert [html_extraction.main_text(x, w) for x in parsed] == [f"inner {k} after {k}" for k in range(6)]
+
+
+def test_alignment_is_simple_tree_matching(monkeypatch):
+    tree = lambda x: html_extraction.tree_of(html_extraction.parse(x)).kids
+    nav, main, advert = "<div><a>x</a><a>y</a><a>z</a></div>", "<div><p>a</p><p>b<b>c</b></p></div>", "<div><img></div>"
+    assert html_extraction.pairs_of(tree(nav + main), tree(advert + nav + main)) == [(0, 1), (1, 2)]
+    assert html_extraction.pairs_of(tree(nav + main + "<div><p>a</p></div>"), tree(advert + nav + "<div><p>a</p><p>c</p><p>d</p></div>")) == [(0, 1), (1, 2)]
+    long = [f"<{'h2' if k % 3 else 'p'}>{k}</{'h2' if k % 3 else 'p'}>" for k in range(700)]
+    a, b = tree("<i>1</i>" + "".join(long) + "<i>2</i>"), tree("<u>1</u>" + "".join(long[:400] + ["<ul></ul>"] + long[400:]) + "<u>2</u>")
+    want = [(1 + k, 1 + k + (k >= 400)) for k in range(700)]
+    assert html_extraction.pairs_of(a, b) == want
+    monkeypatch.setattr(html_extraction, "WHOLE_CELLS", 1000)
+    assert html_extraction.pairs_of(a, b) == want

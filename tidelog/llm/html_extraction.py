@@ -32,6 +32,7 @@ from collections import Counter
 from collections.abc import Iterator
 from hashlib import blake2b
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -44,7 +45,10 @@ LEAST_PAGES = 4
 LEAST_SHARE = 0.5
 #: Nodes seen on less than this share of many pages leave the wrapper.
 RARE = 0.02
-DP_CELLS = 40_000
+#: Texts counted at a node of a wrapper.
+TEXTS = 8
+#: Cells of an alignment kept whole; larger ones are halved first.
+WHOLE_CELLS = 1 << 20
 
 # Element names by role, and words in class, id or role attributes.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
@@ -165,65 +169,160 @@ def declared_other(node: Node, in_article: bool) -> bool:
 
 
 # ---------------------------------------------------------------- the wrapper
-# A wrapper node is a list [label, pages, text fingerprint or None, children].
 
 
 def _mark(text: str) -> str:
     return blake2b(text.encode("utf-8", "surrogatepass"), digest_size=6).hexdigest() if text else ""
 
 
-def tree_of(node: Node) -> list:
-    out: list = []
+class Twig:
+    """A node of a wrapper: on how many pages it stood and with which texts.
+
+    ``texts`` counts texts by the Misra-Gries method with TEXTS counters: each
+    is [pages, prints of up to LEAST_PAGES distinct pages], too low by ``off``
+    at most. ``shape`` is the hash of the subtree's labels, ``size`` its nodes.
+    """
+
+    __slots__ = ("kids", "label", "late", "node", "off", "pages", "shape", "size", "texts")
+
+    def __init__(self, label: str, pages: int, texts: dict[str, list], off: int = 0, late: int = 0, node: Node | None = None):
+        self.label, self.pages, self.texts, self.off, self.late, self.node = label, pages, texts, off, late, node
+        self.kids: list[Twig] = []
+        self.shape, self.size = 0, 1
+
+
+def measure(tree: Twig) -> Twig:
+    """Set shapes and sizes."""
+    order = [tree]
+    for x in order:
+        order += x.kids
+    for x in reversed(order):
+        x.shape = hash((x.label, *[k.shape for k in x.kids]))
+        x.size = 1 + sum([k.size for k in x.kids])
+    return tree
+
+
+def tree_of(node: Node, seen: str = "") -> Twig:
+    """The tree of a page whose print is ``seen``."""
+    out: list[Twig] = []
     todo = [(node, out)]
     while todo:
         x, into = todo.pop()
-        at = [x.label, 1, _mark(x.own_text()), []]
-        into.append(at)
-        todo += [(k, at[3]) for k in reversed(x.kids) if isinstance(k, Node)]
+        text = _mark(x.own_text())
+        t = Twig(x.label, 1, {text: [1, [seen]]} if text else {}, node=x)
+        into.append(t)
+        todo += [(k, t.kids) for k in reversed(x.kids) if isinstance(k, Node)]
+    for t in out:
+        measure(t)
     return out[0]
 
 
-def flat(tree: list) -> list:
-    """A tree as its nodes in preorder, the number of children in place of the children."""
+def flat(tree: Twig) -> list:
+    """A tree as its nodes in preorder with the numbers of their children."""
     out, todo = [], [tree]
     while todo:
         x = todo.pop()
-        out.append([*x[:3], len(x[3])])
-        todo += reversed(x[3])
+        out.append([x.label, x.pages, x.texts, x.off, x.late, len(x.kids)])
+        todo += reversed(x.kids)
     return out
 
 
-def unflat(nodes: list) -> list:
-    open_ = [[None, 0, None, top := []]]
-    left = [1]
-    for x in nodes:
-        while not left[-1]:
-            open_.pop(), left.pop()
-        left[-1] -= 1
-        kids, x[3] = x[3], []
-        open_[-1][3].append(x)
-        open_.append(x), left.append(kids)
-    return top[0]
+def unflat(nodes: list) -> Twig:
+    top: list[Twig] = []
+    todo = [(top, 1)]
+    for *x, n in nodes:
+        while not todo[-1][1]:
+            todo.pop()
+        into, left = todo[-1]
+        todo[-1] = (into, left - 1)
+        into.append(Twig(*x))
+        todo.append((into[-1].kids, n))
+    return measure(top[0])
 
 
-def _pairs(a: list, b: list) -> list[tuple[int, int]]:
-    """Simple tree matching of two lists of children: aligned indices, in order."""
-    n, m, head = len(a), len(b), 0
-    while head < n and head < m and a[head][0] == b[head][0]:
+#: Matching scores of subtrees by their shapes; only a cache.
+_weights: dict[tuple[int, int], int] = {}
+
+
+def _known(x: Twig, y: Twig) -> int | None:
+    if x.label != y.label:
+        return 0
+    if x.shape == y.shape:
+        return x.size
+    if not x.kids or not y.kids:
+        return 1
+    return _weights.get((x.shape, y.shape))
+
+
+def weight(a: Twig, b: Twig) -> int:
+    """Simple tree matching: the most nodes that pair up, parents first, in order."""
+    todo = [(a, b)]
+    while todo:
+        x, y = todo[-1]
+        if _known(x, y) is not None:
+            todo.pop()
+            continue
+        xs, ys = ({k.shape: k for k in t.kids}.values() for t in (x, y))
+        missing = [(p, q) for p in xs for q in ys if _known(p, q) is None]
+        if missing:
+            todo += missing
+            continue
+        head, tail = _ends(x.kids, y.kids)
+        i, j = x.kids[head : len(x.kids) - tail], y.kids[head : len(y.kids) - tail]
+        ends = sum([k.size for k in x.kids[:head]]) + sum([k.size for k in x.kids[len(x.kids) - tail :]])
+        got = int(_rows_of(*_coded(i, j))[-1]) if i and j else 0
+        if len(_weights) > 1_000_000:
+            _weights.clear()  # what is missing again is computed again
+            todo = [(a, b)]
+        _weights[x.shape, y.shape] = 1 + ends + got
+    return _known(a, b)
+
+
+def _ends(a: list[Twig], b: list[Twig]) -> tuple[int, int]:
+    """How many equal subtrees two lists begin and end with; some best alignment pairs them."""
+    n, m, head, tail = len(a), len(b), 0, 0
+    while head < n and head < m and a[head].shape == b[head].shape:
         head += 1
-    tail = 0
-    while tail < n - head and tail < m - head and a[n - 1 - tail][0] == b[m - 1 - tail][0]:
+    while tail < n - head and tail < m - head and a[n - 1 - tail].shape == b[m - 1 - tail].shape:
         tail += 1
-    out = [(k, k) for k in range(head)]
-    rows, cols = n - head - tail, m - head - tail
-    if rows and cols and rows * cols <= DP_CELLS:
-        w = [[0] * (cols + 1) for _ in range(rows + 1)]
-        for i in range(rows):
-            for j in range(cols):
-                x, y = a[head + i], b[head + j]
-                same = w[i][j] + 1 + min(len(x[3]), len(y[3])) if x[0] == y[0] else 0
-                w[i + 1][j + 1] = max(w[i][j + 1], w[i + 1][j], same)
-        i, j, mid = rows, cols, []
+    return head, tail
+
+
+def _coded(a: list[Twig], b: list[Twig]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Scores of kinds of subtrees, and the kinds in both lists."""
+    kinds_a, kinds_b = {k.shape: k for k in a}, {k.shape: k for k in b}
+    table = np.array([[weight(x, y) if x.label == y.label else 0 for y in kinds_b.values()] for x in kinds_a.values()], np.int64)
+    at_a, at_b = ({k: i for i, k in enumerate(kinds)} for kinds in (kinds_a, kinds_b))
+    return table, np.array([at_a[k.shape] for k in a]), np.array([at_b[k.shape] for k in b])
+
+
+def _rows_of(table: np.ndarray, a: np.ndarray, b: np.ndarray, keep: np.ndarray | None = None) -> np.ndarray:
+    """Best scores of all of ``a`` with each beginning of ``b``; ``keep`` takes all rows."""
+    row = np.zeros(len(b) + 1, np.int64)
+    for i, x in enumerate(a):
+        np.maximum.accumulate(np.maximum(row[1:], row[:-1] + table[x][b]), out=row[1:])
+        if keep is not None:
+            keep[i + 1] = row
+    return row
+
+
+def _best(table: np.ndarray, a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
+    """A best alignment; long lists are halved (Hirschberg), so memory stays small."""
+    out, todo = [], [(0, len(a), 0, len(b))]
+    while todo:
+        i0, i1, j0, j1 = todo.pop()
+        if i0 == i1 or j0 == j1:
+            continue
+        x, y = a[i0:i1], b[j0:j1]
+        if (i1 - i0) * (j1 - j0) > WHOLE_CELLS and i1 - i0 > 1:
+            half = len(x) // 2
+            both = _rows_of(table, x[:half], y) + _rows_of(table, x[half:][::-1], y[::-1])[::-1]
+            at = j0 + int(both.argmax())
+            todo += [(i0 + half, i1, at, j1), (i0, i0 + half, j0, at)]
+            continue
+        w = np.zeros((len(x) + 1, len(y) + 1), np.int64)
+        _rows_of(table, x, y, w)
+        w, i, j, part = w.tolist(), len(x), len(y), []
         while i and j:
             if w[i][j] == w[i - 1][j]:
                 i -= 1
@@ -231,56 +330,82 @@ def _pairs(a: list, b: list) -> list[tuple[int, int]]:
                 j -= 1
             else:
                 i, j = i - 1, j - 1
-                mid.append((head + i, head + j))
-        out += reversed(mid)
-    return out + [(n - k, m - k) for k in range(tail, 0, -1)]
+                part.append((i0 + i, j0 + j))
+        out += reversed(part)
+    return out
+
+
+def pairs_of(a: list[Twig], b: list[Twig]) -> list[tuple[int, int]]:
+    """Aligned indices of two lists of children, in order, of the greatest matching score."""
+    head, tail = _ends(a, b)
+    n, m = len(a), len(b)
+    mid = _best(*_coded(a[head : n - tail], b[head : m - tail])) if n - tail > head and m - tail > head else []
+    return [(k, k) for k in range(head)] + [(head + i, head + j) for i, j in mid] + [(n - k, m - k) for k in range(tail, 0, -1)]
+
+
+def _add_texts(w: Twig, t: Twig) -> None:
+    for text, (n, seen) in t.texts.items():
+        if text in w.texts:
+            have = w.texts[text]
+            have[0] += n
+            have[1] = sorted({*have[1], *seen})[:LEAST_PAGES]
+        else:
+            w.texts[text] = [n, list(seen)]
+    w.off += t.off
+    if len(w.texts) > TEXTS:
+        least = sorted((n for n, _ in w.texts.values()), reverse=True)[TEXTS]
+        w.off += least
+        w.texts = {k: [n - least, seen] for k, (n, seen) in w.texts.items() if n > least}
 
 
-def merge(w: list, t: list) -> None:
+def merge(w: Twig, t: Twig) -> None:
     """Fold tree or wrapper ``t`` into ``w``; nodes of ``t`` may be kept in it."""
-    todo = [(w, t)]
+    top, grown, todo = w, False, [(w, t)]
     while todo:
         w, t = todo.pop()
-        w[1] += t[1]
-        if w[2] != t[2]:
-            w[2] = None
-        pairs = _pairs(w[3], t[3])
-        todo += [(w[3][i], t[3][j]) for i, j in pairs]
-        if len(pairs) < len(t[3]):
-            kids, i, j = [], 0, 0
-            for pi, pj in [*pairs, (len(w[3]), len(t[3]))]:
-                kids += w[3][i:pi]
-                kids += t[3][j:pj]
-                if pi < len(w[3]):
-                    kids.append(w[3][pi])
+        w.pages += t.pages
+        w.late += t.late
+        _add_texts(w, t)
+        pairs = pairs_of(w.kids, t.kids)
+        todo += [(w.kids[i], t.kids[j]) for i, j in pairs]
+        if len(pairs) < len(t.kids):
+            kids, i, j, grown = [], 0, 0, True
+            for pi, pj in [*pairs, (len(w.kids), len(t.kids))]:
+                kids += w.kids[i:pi]
+                kids += t.kids[j:pj]
+                if pi < len(w.kids):
+                    kids.append(w.kids[pi])
                 i, j = pi + 1, pj + 1
-            w[3] = kids
+            w.kids = kids
+    if grown:
+        measure(top)
 
 
-def prune(w: list, least: float) -> None:
+def prune(w: Twig, least: float) -> None:
     """Forget nodes that stood on fewer than ``least`` pages."""
     todo = [w]
     while todo:
         x = todo.pop()
-        x[3] = [k for k in x[3] if k[1] >= least]
-        todo += x[3]
+        x.kids = [k for k in x.kids if k.pages >= least]
+        todo += x.kids
+    measure(w)
 
 
 class HostWrapper:
     """A wrapper and up to LEAST_PAGES fingerprints of differing pages."""
 
-    def __init__(self, tree: list, seen: list[str]):
+    def __init__(self, tree: Twig, seen: list[str]):
         self.tree, self.seen = tree, seen
 
     def add(self, other: HostWrapper) -> None:
         merge(self.tree, other.tree)
         self.seen = sorted({*self.seen, *other.seen})[:LEAST_PAGES]
-        if self.tree[1] >= 50 and (self.tree[1] % 64 == 0 or other.tree[1] > 1):
-            prune(self.tree, RARE * self.tree[1])
+        if self.tree.pages >= 50 and (self.tree.pages % 64 == 0 or other.tree.pages > 1):
+            prune(self.tree, RARE * self.tree.pages)
 
     def finish(self) -> HostWrapper:
         """Only what can be template: small enough to travel with every page."""
-        prune(self.tree, max(LEAST_PAGES, LEAST_SHARE * self.tree[1]))
+        prune(self.tree, max(LEAST_PAGES, LEAST_SHARE * self.tree.pages))
         return self
 
     def dumps(self) -> bytes:
@@ -299,14 +424,17 @@ class HostWrapper:
         found: set[int] = set()
         if len(self.seen) < LEAST_PAGES:
             return found
-        total, todo = self.tree[1], [(self.tree, page, False)]
+        total, todo = self.tree.pages, [(self.tree, tree_of(page), False)]
         while todo:
-            w, node, in_slot = todo.pop()
-            in_slot = in_slot and node.tag not in BLOCK
-            if not in_slot and w[2] and w[1] >= max(LEAST_PAGES, LEAST_SHARE * total) and _mark(node.own_text()) == w[2]:
-                found.add(id(node))
-            kids = [k for k in node.kids if isinstance(k, Node)]
-            todo += [(w[3][i], kids[j], in_slot or w[2] is None) for i, j in _pairs(w[3], [[k.label, 1, None, k.kids] for k in kids])]
+            w, t, in_slot = todo.pop()
+            in_slot = in_slot and t.node.tag not in BLOCK
+            text = next(iter(t.texts), "")
+            n, seen = w.texts.get(text, (0, ()))
+            constant = len(seen) >= LEAST_PAGES and n + w.off >= max(LEAST_PAGES, LEAST_SHARE * total)
+            if constant and not in_slot:
+                found.add(id(t.node))
+            in_slot = in_slot or bool(text) and not constant
+            todo += [(w.kids[i], t.kids[j], in_slot) for i, j in pairs_of(w.kids, t.kids)]
         return found
 
 
@@ -368,7 +496,8 @@ def _induce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for host, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             if not host:
                 continue
-            one = HostWrapper(tree_of(parse(text)), [_mark(text)])
+            seen = _mark(text)
+            one = HostWrapper(tree_of(parse(text), seen), [seen])
             if host in found:
                 found[host].add(one)
             else:
