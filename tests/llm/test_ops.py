@@ -452,13 +452,18 @@ def test_lm_filter_charges_every_level(monkeypatch):
     assert (bloom.levels(keys) == 21).mean() > 0.96
 
 
+def induced(pages):
+    first, *others = (html_extraction.HostWrapper.of(html_extraction.parse(x)) for x in pages)
+    for x in others:
+        first.add(x)
+    return first
+
+
 @pytest.mark.parametrize("deep", [100, 3000])
 def test_deep_nesting_keeps_the_text_after_it(deep):
     rows = [f"<div id=wrap><article>{'<div>' * deep}<p>inner {k}</p>{'</div>' * deep}<p>after {k}</p><div class=comments>{'<div>' * deep}x{'</div>' * deep}no {k}</div></article></div>" for k in range(6)]
     parsed = [html_extraction.parse(x) for x in rows]
-    w = html_extraction.HostWrapper(html_extraction.tree_of(parsed[0], "0"), ["0"])
-    for k in range(1, 6):
-        w.add(html_extraction.HostWrapper(html_extraction.tree_of(parsed[k], str(k)), [str(k)]))
+    w = induced(rows)
     w = html_extraction.HostWrapper.loads(w.finish().dumps())
     assert [html_extraction.main_text(x, w) for x in parsed] == [f"inner {k} after {k}" for k in range(6)]
 
@@ -474,3 +479,23 @@ def test_alignment_is_simple_tree_matching(monkeypatch):
     assert html_extraction.pairs_of(a, b) == want
     monkeypatch.setattr(html_extraction, "WHOLE_CELLS", 1000)
     assert html_extraction.pairs_of(a, b) == want
+
+
+def test_template_is_found_late_by_layout_and_from_two_pages():
+    def texts(pages, ask, parts=1):
+        step = -(-len(pages) // parts)
+        first, *others = (html_extraction.HostWrapper.loads(induced(pages[k : k + step]).dumps()) for k in range(0, len(pages), step))
+        for x in others:
+            first.add(x)
+        w = html_extraction.HostWrapper.loads(first.finish().dumps())
+        return [html_extraction.main_text(html_extraction.parse(x), w) for x in ask]
+
+    old = [f"<body><div class=a><p>Menu</p></div><p>old {k}</p></body>" for k in range(4000)]
+    new = [f"<body><div class=a><p>Menu</p></div><p>new {k}</p><div class=b><p>Late line</p></div></body>" for k in range(2000)]
+    for parts in (1, 3):
+        assert texts(old + new, [old[3], new[-1]], parts) == ["old 3", "new 1999"]
+    three = [f"<body><div class=x{k % 3}><div class=y{k % 3}><p>Menu {k % 3}</p></div><div class=z{k % 3}><p>text {k}</p></div></div></body>" for k in range(30)]
+    assert texts(three, three) == [f"text {k}" for k in range(30)]
+    two = [f"<body><div><p>Menu</p></div><p>text {k}</p></body>" for k in range(2)]
+    assert texts(two, two) == ["text 0", "text 1"]
+    assert texts(two[:1] * 5, two[:1]) == ["Menu text 0"]  # one page, however often

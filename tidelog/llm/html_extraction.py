@@ -39,12 +39,14 @@ from pyspark.sql import functions as F
 
 from tidelog.llm.common import shared_table, tasks_for
 
-#: A node is template if it stood on so many pages, always with the same text,
-LEAST_PAGES = 4
-#: and on such a share of the pages of the wrapper.
+#: A text of a node is template if it stood on so many distinct pages
+LEAST_PAGES = 2
+#: and on more than such a share of the pages on which the node's parent stood.
 LEAST_SHARE = 0.5
-#: Nodes seen on less than this share of many pages leave the wrapper.
-RARE = 0.02
+#: Pages are of one layout if their sets of label paths agree to this share.
+ALIKE = 0.6
+#: Lossy counting forgets what falls behind one page in so many.
+LOSSY = 64
 #: Texts counted at a node of a wrapper.
 TEXTS = 8
 #: Cells of an alignment kept whole; larger ones are halved first.
@@ -358,9 +360,21 @@ def _add_texts(w: Twig, t: Twig) -> None:
         w.texts = {k: [n - least, seen] for k, (n, seen) in w.texts.items() if n > least}
 
 
+def _late(w: Twig, pages: int) -> None:
+    todo = [w]
+    while todo:
+        x = todo.pop()
+        x.late += pages
+        todo += x.kids
+
+
 def merge(w: Twig, t: Twig) -> None:
-    """Fold tree or wrapper ``t`` into ``w``; nodes of ``t`` may be kept in it."""
+    """Fold tree or wrapper ``t`` into ``w``; nodes of ``t`` may be kept in it.
+
+    A node that only one side has may have been forgotten by the other.
+    """
     top, grown, todo = w, False, [(w, t)]
+    behind, theirs = w.pages // LOSSY, t.pages // LOSSY
     while todo:
         w, t = todo.pop()
         w.pages += t.pages
@@ -368,6 +382,14 @@ def merge(w: Twig, t: Twig) -> None:
         _add_texts(w, t)
         pairs = pairs_of(w.kids, t.kids)
         todo += [(w.kids[i], t.kids[j]) for i, j in pairs]
+        if behind:
+            both = {j for _, j in pairs}
+            for k in [k for j, k in enumerate(t.kids) if j not in both]:
+                _late(k, behind)
+        if theirs:
+            both = {i for i, _ in pairs}
+            for k in [k for i, k in enumerate(w.kids) if i not in both]:
+                _late(k, theirs)
         if len(pairs) < len(t.kids):
             kids, i, j, grown = [], 0, 0, True
             for pi, pj in [*pairs, (len(w.kids), len(t.kids))]:
@@ -381,65 +403,133 @@ def merge(w: Twig, t: Twig) -> None:
         measure(top)
 
 
-def prune(w: Twig, least: float) -> None:
-    """Forget nodes that stood on fewer than ``least`` pages."""
+def prune(w: Twig, least) -> None:
+    """Forget nodes for which ``least(node, parent)`` is false."""
     todo = [w]
     while todo:
         x = todo.pop()
-        x.kids = [k for k in x.kids if k.pages >= least]
+        x.kids = [k for k in x.kids if least(k, x)]
         todo += x.kids
     measure(w)
 
 
+def template_texts(w: Twig, parent: Twig) -> dict[str, list]:
+    """The texts of a node that are template, by the pages of its parent."""
+    return {k: x for k, x in w.texts.items() if len(x[1]) >= LEAST_PAGES and x[0] + w.off > LEAST_SHARE * parent.pages}
+
+
+def paths_of(tree: Twig) -> frozenset[int]:
+    """What a layout is known by: the labels of structural nodes with those of their parents."""
+    out, todo = set(), [tree]
+    while todo:
+        x = todo.pop()
+        for k in x.kids:
+            tag = k.node.tag
+            if tag not in PROSE and tag not in VOID or k.node.attrs.get("class"):
+                out.add(int.from_bytes(blake2b(f"{x.label}>{k.label}".encode("utf-8", "surrogatepass"), digest_size=6).digest()))
+        todo += x.kids
+    return frozenset(out)
+
+
+class Layout:
+    """The wrapper of the pages of one layout; ``paths`` are those of its first page."""
+
+    def __init__(self, paths: frozenset[int], tree: Twig):
+        self.paths, self.tree = paths, tree
+
+    def likeness(self, paths: frozenset[int]) -> float:
+        return len(self.paths & paths) / (len(self.paths | paths) or 1) if self.paths or paths else 1.0
+
+
 class HostWrapper:
-    """A wrapper and up to LEAST_PAGES fingerprints of differing pages."""
+    """The layouts of a host. Nodes and layouts that are rare so far are forgotten by lossy counting.
 
-    def __init__(self, tree: Twig, seen: list[str]):
-        self.tree, self.seen = tree, seen
+    ``late`` of a node or layout is the number of pages it may have stood on
+    before it was (last) entered; it goes once pages + late is no more than
+    the pages of all, divided by LOSSY. So what stands on more than that share
+    of the pages is never lost, however late it begins.
+    """
+
+    def __init__(self, layouts: list[Layout], pages: int):
+        self.layouts, self.pages = layouts, pages
+
+    @classmethod
+    def of(cls, page: Node) -> HostWrapper:
+        """One page. Its print is that of its text by markup alone: copies of an article count once."""
+        tree = tree_of(page, _mark(main_text(page, None)))
+        return cls([Layout(paths_of(tree), tree)], 1)
+
+    def nearest(self, paths: frozenset[int]) -> Layout | None:
+        """The layout of a page; none if no layout is alike."""
+        best = max(self.layouts, key=lambda x: x.likeness(paths), default=None)
+        return best if best and best.likeness(paths) >= ALIKE else None
 
     def add(self, other: HostWrapper) -> None:
-        merge(self.tree, other.tree)
-        self.seen = sorted({*self.seen, *other.seen})[:LEAST_PAGES]
-        if self.tree.pages >= 50 and (self.tree.pages % 64 == 0 or other.tree.pages > 1):
-            prune(self.tree, RARE * self.tree.pages)
+        behind, theirs = self.pages // LOSSY, other.pages // LOSSY
+        before, known, met = self.pages, len(self.layouts), set()
+        self.pages += other.pages
+        for x in other.layouts:
+            mine = self.nearest(x.paths)
+            if mine:
+                merge(mine.tree, x.tree)
+            else:
+                x.tree.late += behind
+                self.layouts.append(x)
+                continue
+            met.add(id(mine))
+        for x in self.layouts[:known]:
+            x.tree.late += 0 if id(x) in met else theirs
+        if before // LOSSY < self.pages // LOSSY:
+            now = self.pages // LOSSY
+            self.layouts = [x for x in self.layouts if x.tree.pages + x.tree.late > now]
+            for x in self.layouts:
+                prune(x.tree, lambda k, _, all_=x.tree.pages // LOSSY: k.pages + k.late > all_)
 
     def finish(self) -> HostWrapper:
-        """Only what can be template: small enough to travel with every page."""
-        prune(self.tree, max(LEAST_PAGES, LEAST_SHARE * self.tree.pages))
+        """What can be template, and nodes near it in number, which keep the alignment true."""
+        self.layouts = [x for x in self.layouts if x.tree.pages >= LEAST_PAGES]
+        for x in self.layouts:
+            todo = [(x.tree, x.tree)]
+            while todo:
+                w, parent = todo.pop()
+                todo += [(k, w) for k in w.kids]
+                w.texts = template_texts(w, parent)
+            prune(x.tree, lambda k, parent: k.pages > LEAST_SHARE / 2 * parent.pages)
         return self
 
     def dumps(self) -> bytes:
-        return json.dumps([flat(self.tree), self.seen], separators=(",", ":")).encode()
+        return json.dumps([self.pages, [[sorted(x.paths), flat(x.tree)] for x in self.layouts]], separators=(",", ":")).encode()
 
     @classmethod
     def loads(cls, raw: bytes) -> HostWrapper:
-        nodes, seen = json.loads(raw)
-        return cls(unflat(nodes), seen)
+        pages, layouts = json.loads(raw)
+        return cls([Layout(frozenset(paths), unflat(nodes)) for paths, nodes in layouts], pages)
 
-    def template_of(self, page: Node) -> set[int]:
-        """ids of the page's nodes that align with constant nodes.
+    def template_of(self, page: Node) -> set[int] | None:
+        """ids of the page's nodes whose text is template; none if its layout is unknown.
 
         A constant word in bold within a varying line belongs to the line.
         """
+        tree = tree_of(page)
+        layout = self.nearest(paths_of(tree))
+        if layout is None:
+            return None
         found: set[int] = set()
-        if len(self.seen) < LEAST_PAGES:
-            return found
-        total, todo = self.tree.pages, [(self.tree, tree_of(page), False)]
+        todo = [(layout.tree, layout.tree, tree, False)]
         while todo:
-            w, t, in_slot = todo.pop()
+            w, parent, t, in_slot = todo.pop()
             in_slot = in_slot and t.node.tag not in BLOCK
             text = next(iter(t.texts), "")
-            n, seen = w.texts.get(text, (0, ()))
-            constant = len(seen) >= LEAST_PAGES and n + w.off >= max(LEAST_PAGES, LEAST_SHARE * total)
+            constant = text in template_texts(w, parent)
             if constant and not in_slot:
                 found.add(id(t.node))
             in_slot = in_slot or bool(text) and not constant
-            todo += [(w.kids[i], t.kids[j], in_slot) for i, j in pairs_of(w.kids, t.kids)]
+            todo += [(w.kids[i], w, t.kids[j], in_slot) for i, j in pairs_of(w.kids, t.kids)]
         return found
 
 
 def main_text(page: Node, wrapper: HostWrapper | None) -> str:
-    template = wrapper.template_of(page) if wrapper else set()
+    template = wrapper and wrapper.template_of(page) or set()
     areas = _areas(page)
     parts: list[str] = []
     for area in areas:
@@ -496,8 +586,7 @@ def _induce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for host, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             if not host:
                 continue
-            seen = _mark(text)
-            one = HostWrapper(tree_of(parse(text), seen), [seen])
+            one = HostWrapper.of(parse(text))
             if host in found:
                 found[host].add(one)
             else:
