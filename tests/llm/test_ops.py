@@ -499,3 +499,14 @@ def test_template_is_found_late_by_layout_and_from_two_pages():
     two = [f"<body><div><p>Menu</p></div><p>text {k}</p></body>" for k in range(2)]
     assert texts(two, two) == ["text 0", "text 1"]
     assert texts(two[:1] * 5, two[:1]) == ["Menu text 0"]  # one page, however often
+
+
+def test_the_wrapper_decides_inside_and_outside_of_articles():
+    def make(k, body, stamp=""):
+        return f"<body><div class=top><p>Menu</p><p>Teaser {stamp or k}</p></div><article><h1>Title {k}</h1><p>{body}</p><p>Join our <a href=x>list</a></p><span>Follow us</span></article><div class=end><p>All rights</p></div></body>"
+
+    pages = [make(k, f"story {k}") for k in range(6)] + [make(9, "copied story", f"t{k}") for k in range(20)]
+    w = html_extraction.HostWrapper.loads(induced(pages).finish().dumps())
+    got = [html_extraction.main_text(html_extraction.parse(x), w) for x in pages]
+    assert got[2] == "Teaser 2 Title 2 story 2"
+    assert got[10] == "Teaser t4 Title 9 copied story"  # 20 of 26 pages, but one article

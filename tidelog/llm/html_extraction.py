@@ -1,21 +1,22 @@
 """Main text of web pages by wrapper induction.
 
-Pages of one host come from one template. Each page is parsed into a tree and
-folded into its host's wrapper: simple tree matching aligns the children of
-matched nodes in order, so that as many nodes as possible pair up, and a node
-remembers on how many pages it stood and whether its own text was always the
-same. Nodes that are constant over many differing pages are template; nodes
-whose text varies are slots. Wrappers of parts of a host merge by the same
-alignment, so every page of a host takes part, each task yields one wrapper a
-host, and the merging task reads wrappers, never pages.
-
-A page is then aligned with its host's wrapper. Its main text is what stands in
-varying slots, less what its own markup declares to be something else
-(navigation, page headers and footers, asides, adverts, notices, forms, reader
-comments, scripts, styles, hidden parts). If the page marks its article (or
-main part), text outside it is left out, and constant headings, paragraphs and
-list items inside it stay: copies of one article on a host do not make it
-template.
+Pages of one host come from few templates. Each page is parsed into a tree and
+folded into the wrapper of its layout: simple tree matching aligns the children
+of matched nodes in order, so that as many nodes of the subtrees as possible
+pair up, and a node remembers on how many pages it stood and with which texts.
+A text that most pages with the node's parent have there, on two distinct pages
+at least, is template; other nodes are slots. Wrappers of parts of a host merge
+by the same alignment, so every page of a host takes part, each task yields one
+row a host, and the merging task reads wrappers, never pages.
+
+A page is then aligned with the wrapper of its layout. The wrapper decides: the
+main text is what stands in varying slots, inside and outside of <article>.
+Markup that declares itself something else (navigation, page headers and
+footers, asides, adverts, notices, forms, reader comments, scripts, styles,
+hidden parts) is left out in addition. Pages with one and the same article count
+as one page, so copies of an article do not make it template. Only pages of a
+layout that no second distinct page of the host has go by markup alone: there
+text outside of <article> (or the main part) is left out.
 
 Null html or url: empty text, or a host of its own without a wrapper. Repeated
 rows give equal texts. Empty tables give empty tables. Extra columns are ignored.
@@ -529,24 +530,24 @@ class HostWrapper:
 
 
 def main_text(page: Node, wrapper: HostWrapper | None) -> str:
-    template = wrapper and wrapper.template_of(page) or set()
-    areas = _areas(page)
+    """Text outside template and declared parts; by markup alone if the layout is unknown."""
+    template = wrapper.template_of(page) if wrapper else None
     parts: list[str] = []
-    for area in areas:
-        in_article = area is not page
-        # (node, leave) pairs: an explicit stack, as nesting may be deep
-        todo: list = [area]
+    for area in [page] if template is not None else _areas(page):
+        # an explicit stack, as nesting may be deep
+        todo: list = [(area, area is not page)]
         while todo:
-            x = todo.pop()
+            x, in_article = todo.pop()
             if isinstance(x, str):
                 parts.append(x)
                 continue
+            in_article = in_article or x.tag in ("article", "main")
             if declared_other(x, in_article):
                 continue
-            skip_own = id(x) in template and not (in_article and x.tag in PROSE)
-            gap = " " if x.tag in BLOCK else ""
+            skip_own = template is not None and id(x) in template
+            gap = (" " if x.tag in BLOCK else "", in_article)
             todo.append(gap)
-            todo += [k for k in reversed(x.kids) if not (skip_own and isinstance(k, str))]
+            todo += [(k, in_article) for k in reversed(x.kids) if not (skip_own and isinstance(k, str))]
             todo.append(gap)
         parts.append(" ")
     return " ".join("".join(parts).split())
