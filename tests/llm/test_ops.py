@@ -510,3 +510,21 @@ def test_the_wrapper_decides_inside_and_outside_of_articles():
     got = [html_extraction.main_text(html_extraction.parse(x), w) for x in pages]
     assert got[2] == "Teaser 2 Title 2 story 2"
     assert got[10] == "Teaser t4 Title 9 copied story"  # 20 of 26 pages, but one article
+
+
+def test_compression_judges_every_byte_and_other_alphabets(spark, sf):
+    import zstandard
+
+    packer, bands = zstandard.ZstdCompressor(level=3), quality_rules.Bands()
+    good = {r["doc_id"] for r in spark.read.parquet(f"{sf}/labels.parquet").collect() if r["quality"] == 1}
+    texts = [r["text"] for r in spark.read.parquet(f"{sf}/documents.parquet").collect() if r["doc_id"] in good and r["lang"] == "en" and len(r["text"] or "") > 400]
+    assert texts
+    for first in (0x430, 0x3B1, 0x915):  # Cyrillic, Greek, Devanagari
+        table = {ord("a") + k: first + k for k in range(26)} | {ord("A") + k: first + k - (32 if first == 0x430 else 0) for k in range(26)}
+        for t in texts:
+            assert quality_rules.compression(t.translate(table).encode(), bands, packer)[3] == quality_rules.compression(t.encode(), bands, packer)[3]
+    prose = " ".join(texts).encode()
+    assert quality_rules.compression(prose[:4095], bands, packer)[2] == 0
+    noise = bytes(np.random.default_rng(1).integers(0, 128, 2047, np.uint8))
+    assert quality_rules.compression(prose[:2048] + noise, bands, packer)[1:3] == (2, 1)
+    assert not quality_rules.compression(b"spam " * 25, bands, packer)[3]
