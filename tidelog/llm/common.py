@@ -110,6 +110,12 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _S31)
 
 
+def to_buckets(keys: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """An order of the keys by bucket, stable, and where each bucket's begin in it."""
+    to = (mix(keys) % np.uint64(buckets)).astype(np.uint16 if buckets <= 1 << 16 else np.uint32)
+    return np.argsort(to, kind="stable"), np.concatenate([[0], np.cumsum(np.bincount(to, minlength=buckets))])
+
+
 _BYTE = mix(np.arange(256, dtype=np.uint64) + np.uint64(77))
 _BASE = np.uint64(0x5851F42D4C957F2D)
 _BASE_INV = np.uint64(pow(int(_BASE), -1, 1 << 64))
