@@ -1,5 +1,6 @@
 import hashlib
 import math
+import random
 import zlib
 from collections import Counter, defaultdict
 
@@ -69,6 +70,35 @@ def test_packing(spark, docs, rows, folder):
         assert at == 2048 or at & (at - 1) == 0 and at < 2048
 
 
+def test_pieces_give_the_ids_of_whole_texts():
+    from tokenizers import Tokenizer
+
+    tok, own, rng = Tokenizer.from_file(packing.default_tokenizer()), packing.WordTokenizer(packing.default_tokenizer()), random.Random(4)
+    parts = ["a", "B", "é", "É", "×", "÷", "ß", "İ", "J\u030c", "T\u0308", "≠", "'s", "'LL", "<|endoftext|>", "<|ENDOFTEXT|>", "<", ">", "|", ",", ".", "!", "_", "7", "½", "漢", "☃"]
+    parts += [" ", " ", "\n", "\t", "\u0085", "\xa0", "\x1c", "\u0301", "Ø", "µ", "ª", "’", "\u212a", "ﬁ", "\x00", "\u1100\u1161"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 40))) for _ in range(4000)] + [None, "", "word, " * 50_000]
+    for a in range(0, len(texts), 500):
+        ids, counts, points = own.encode([None if t is None else t.encode() for t in texts[a : a + 500]])
+        ends = np.cumsum(counts)
+        for t, x, y, point in zip(texts[a : a + 500], ends - counts, ends, points):
+            assert ids[x:y].tolist() == [*tok.encode(t or "", add_special_tokens=False).ids, 1]
+            assert (point == packing.projection()[packing._slot(ids[x:y])].sum(0)).all()
+
+
+def test_neighbours_on_the_curve_are_alike(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").filter("n_chars > 400")
+    out = packing.tokenized(docs).select("doc_id", "start", "curve", "ids").toPandas().sort_values(["curve", "doc_id", "start"])
+    vectors = []
+    for _, part in out.groupby(["curve", "doc_id"], sort=False):
+        v = np.bincount(np.frombuffer(b"".join(part.ids), np.uint16).astype(np.int64) % 4096, minlength=4096).astype(float)
+        vectors.append(v / np.linalg.norm(v))
+    v = np.array(vectors)
+    near = (v[:-1] * v[1:]).sum(1)
+    other = np.random.default_rng(2).permutation(len(v))
+    apart = (v * v[other])[other != np.arange(len(v))].sum(1)
+    assert np.mean(near) > np.mean(apart) + 0.1
+
+
 def test_hilbert_curve_steps_by_one():
     grid = np.stack(np.meshgrid(*[np.arange(8)] * 3, indexing="ij"), -1).reshape(-1, 3)
     key = packing.hilbert_keys(grid, 3)
