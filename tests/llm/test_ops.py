@@ -276,6 +276,9 @@ def test_repeated_passages(spark, docs, rows, folder):
         want[(r[0], len(raw), sum(mask), runs, hashlib.sha256(left).hexdigest())] += 1
     got = suffix_dedup.query(spark, folder(documents=docs))
     assert as_rows(got, "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == want
+    for r in got.filter("not changed").collect() + got.filter("changed").collect():
+        assert r["changed"] == (r["n_removed"] > 0) and r["n_kept"] == r["n_bytes"] - r["n_removed"]
+        assert r["changed"] or hashlib.sha256(r["text"].encode()).hexdigest() == r["kept_sha256"]
     assert sum(k[2] > 0 for k in want) > 10
 
 

@@ -39,10 +39,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import M1, Rolling, drop_table, mix, release, shared_table, tasks_for, text_col
+from tidelog.llm.common import M1, Rolling, drop_table, mix, release, shared_table, tasks_for, text_col, to_buckets
 
 LENGTH = 400
 PRIME = 13
@@ -130,10 +131,13 @@ def _sent(rows: list[tuple[int, bytes]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], names=["bucket", "data"])
 
 
+def _known() -> int:
+    """A bucket below 0, one a task: what it holds needs to meet nothing and is spread over all tasks."""
+    return -1 - TaskContext.get().partitionId()
+
+
 def _to_buckets(table: Table, cols: list[np.ndarray], buckets: int) -> list[tuple[int, bytes]]:
-    to = (mix(cols[0] ^ M1) % np.uint64(buckets)).astype(np.int64)
-    order = np.argsort(to, kind="stable")
-    cut = np.searchsorted(to[order], np.arange(buckets + 1))
+    order, cut = to_buckets(cols[0] ^ M1, buckets)
     return [(k, table.pack([c[order[a:b]] for c in cols])) for k, (a, b) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if b > a]
 
 
@@ -192,7 +196,7 @@ def _send_names(buckets: int):
     def flush(held: list) -> pa.RecordBatch:
         send, out = _split_repeats(NAMES.join(held), 3)
         rows = _to_buckets(NAMES, send, buckets)
-        rows.append((-1, NAMES.pack(out)))
+        rows.append((_known(), NAMES.pack(out)))
         return _sent(rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -301,7 +305,7 @@ def _send_contexts(buckets: int):
     def flush(held: list) -> pa.RecordBatch:
         send, out = _split_repeats(CONTEXTS.join(held), 6)
         rows = _to_buckets(CONTEXTS, send, buckets)
-        rows.append((-1, CONTEXTS.pack(out)))
+        rows.append((_known(), CONTEXTS.pack(out)))
         return _sent(rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -364,7 +368,7 @@ def _send_starts(buckets: int):
     def flush(held: list) -> pa.RecordBatch:
         send, out = _split_repeats(STARTS.join(held), 4)
         rows = _to_buckets(STARTS, send, buckets)
-        rows.append((-1, STARTS.pack(out)))
+        rows.append((_known(), STARTS.pack(out)))
         return _sent(rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -469,18 +473,20 @@ def _with_spans(docs: DataFrame, *columns) -> DataFrame:
     return d.join(spans, (d["th"] == spans["_th"]) & (d["th2"] == spans["_th2"]), "left")
 
 
-DIGEST = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
+DIGEST = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, changed boolean, n_kept long, text string"
 
 
 def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The contract's columns, then whether a byte went, the bytes kept and the text they make (less a character cut in two)."""
     for batch in batches:
         rows = []
         for data, spans in zip(batch.column(1), batch.column(2).to_pylist(), strict=True):
             raw = data.as_buffer().to_pybytes()
             s, e = removed(len(raw), spans)
-            rows.append((len(raw), int((e - s).sum()), len(s), hashlib.sha256(kept_bytes(raw, s, e)).hexdigest()))
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string()]
-        cols = list(zip(*rows, strict=True)) or [()] * 4
+            kept = kept_bytes(raw, s, e)
+            rows.append((len(raw), len(raw) - len(kept), len(s), hashlib.sha256(kept).hexdigest(), len(s) > 0, len(kept), kept.decode("utf-8", "ignore")))
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_(), pa.int64(), pa.string()]
+        cols = list(zip(*rows, strict=True)) or [()] * 7
         yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], names=[x.split()[0] for x in DIGEST.split(", ")])
 
 
