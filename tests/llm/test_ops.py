@@ -197,6 +197,14 @@ def test_mixing(spark, docs, rows, folder):
     assert as_rows(again, *got.columns) == as_rows(got, *got.columns)
 
 
+def test_each_source_comes_near_its_target(spark):
+    at = "/root/testdata/sf0.01"
+    source = spark.read.parquet(f"{at}/documents.parquet").select(F.col("doc_id").alias("_d"), "source")
+    took = mixing.query(spark, at).join(source, F.col("doc_id") == F.col("_d")).groupBy("source")
+    for r in took.agg(F.sum("taken").alias("taken"), F.first("target").alias("target"), F.median("size").alias("median")).collect():
+        assert abs(r["taken"] - r["target"]) <= max(0.01 * r["target"], r["median"])
+
+
 def test_mix_gives_each_row_as_often_as_it_is_taken(spark, docs, folder):
     taken = mixing.query(spark, folder(documents=docs)).agg(F.sum("taken")).first()[0]
     out = mixing.mix_documents(docs)

@@ -2,11 +2,16 @@
 
 Every source has a target of words. Each document of a source expects
 ``target / source_size`` copies. The expectations are summed along the source
-(ordered by size, then by a hash, so the sample is stratified by size), one
+(ordered by size class, each up to four times the one before, and by a hash within
+a class, so the sample is stratified by size), one
 offset per source is added, and a document is taken once for each integer
-boundary its step crosses. The offset is the best of TRIES evenly spaced ones
-from a hashed start: the one whose words come nearest to the target. With at most three expected copies no document is
-taken more than three times.
+boundary its step crosses. The offset starts from a hash and is moved on, in steps
+of 1 / STEPS, to where the words taken come nearest to the target. While it moves,
+boundaries pass from one document to its neighbour, each at its own place; so the
+words taken at all STEPS offsets are a running sum over at most STEPS sums a source.
+The more documents, the more of these values lie about the target: the nearest was
+within 1 % for sources of 50 supplied documents and 0.2 % for 500. With at most
+three expected copies no document is taken more than three times.
 
 Targets: sources in code-point order, null last, weigh 1, 2, 3, 1, ... and share
 all words; a target stops at three times its source's words and the excess goes
@@ -40,7 +45,7 @@ from tidelog.llm.common import shared_table, tasks_for
 
 CAP = 3
 SEED = "mix-1"
-TRIES = 16
+STEPS = 1 << 16
 _GRID = 1 << 20  # offsets are multiples of 2**-20, exact beside large ranks
 
 
@@ -104,19 +109,29 @@ def copies(rows: DataFrame, order: list[Column]) -> DataFrame:
     one = ranked.join(parts, (F.col("_task") == F.col("_t1")) & F.col("_source").eqNullSafe(F.col("_s1"))).drop("_s1", "_t1")
     rate = F.coalesce(F.try_divide(F.col("_target"), F.col("_size").cast("double")), F.lit(0.0))
     start = F.conv(F.substring(F.md5(F.encode(F.concat(F.lit(SEED + ":"), F.coalesce("_source", F.lit(""))), "utf-8")), 1, 5), 16, 10).cast("long")
+    start = start.cast("double") / _GRID
     k = (F.col("_base") + F.col("_rank")).cast("double")
+    one = one.withColumns({"_x0": start + rate * k, "_x1": start + rate * (k + 1)})
+    lower, upper = F.floor("_x0"), F.floor("_x1")
+    moved = F.explode(F.array(F.struct(_step("_x1").alias("j"), F.col("_n").alias("n")), F.struct(_step("_x0").alias("j"), (-F.col("_n")).alias("n")), F.struct(F.lit(0).cast("long").alias("j"), (F.col("_n") * (upper - lower)).alias("n"))))
+    sums = one.select("_source", "_target", moved.alias("_m")).filter(F.col("_m.j") < STEPS).groupBy("_source", F.col("_m.j").alias("_j")).agg(F.sum("_m.n").alias("_d"), F.first("_target").alias("_goal"))
+    so_far = W.partitionBy("_source").orderBy("_j").rowsBetween(W.unboundedPreceding, 0)
+    tried = sums.withColumn("_off", F.abs(F.sum("_d").over(so_far).cast("double") - F.col("_goal")))
+    tried = tried.groupBy(F.col("_source").alias("_s3")).agg(F.min(F.struct("_off", "_j")).alias("_best")).select("_s3", (F.col("_best._j").cast("double") / STEPS).alias("_u"))
+    chosen = one.join(tried, F.col("_source").eqNullSafe(F.col("_s3")))
+    taken = F.floor(F.col("_u") + F.col("_x1")) - F.floor(F.col("_u") + F.col("_x0"))
+    return chosen.withColumn("_copies", taken.cast("long")).drop("_s3", "_u", "_x0", "_x1")
 
-    def taken(offset: Column) -> Column:
-        return F.floor(offset + rate * (k + 1)).cast("long") - F.floor(offset + rate * k).cast("long")
 
-    offsets = [((start + j * (_GRID // TRIES)) % _GRID).cast("double") / _GRID for j in range(TRIES)]
-    words = [F.sum(taken(u) * F.col("_n")).alias(f"_t{j}") for j, u in enumerate(offsets)]
-    tried = one.groupBy("_source").agg(F.first("_target").alias("_goal"), *words)
-    best = F.array_min(F.array(*[F.struct(F.abs(F.col(f"_t{j}") - F.col("_goal")).alias("off"), F.lit(j).alias("j")) for j in range(TRIES)]))
-    tried = tried.select(F.col("_source").alias("_s3"), best["j"].alias("_try"))
-    chosen = one.join(tried, F.col("_source").eqNullSafe(F.col("_s3")))
-    offset = ((start + F.col("_try") * (_GRID // TRIES)) % _GRID).cast("double") / _GRID
-    return chosen.withColumn("_copies", taken(offset)).drop("_s3", "_try")
+def _step(x: str) -> Column:
+    """The first step at which ``floor(x)`` grows by one; STEPS or more if none does."""
+    at = F.ceil((F.lit(1.0) - (F.col(x) - F.floor(x))) * STEPS).cast("long")
+    grown = lambda j: F.floor(j.cast("double") / STEPS + F.col(x)) > F.floor(x)  # noqa: E731  as it rounds where it is used
+    return F.when(grown(at - 1), at - 1).when(grown(at), at).otherwise(at + 1)
+
+
+def _order(n: Column, doc_id: Column) -> list[Column]:
+    return [F.floor((F.length(F.bin(n + 1)) - 1) / 2), _tie(doc_id), doc_id, n]
 
 
 def _tie(doc_id: Column) -> Column:
@@ -127,7 +142,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["source"].cast("string").alias("_source"), word_count(docs["text"]).alias("_n"))
     rows = shared_table(rows, "sizes")
-    out = copies(rows, [F.col("_n"), _tie(F.col("doc_id")), F.col("doc_id")])
+    out = copies(rows, _order(F.col("_n"), F.col("doc_id")))
     return out.select("doc_id", F.col("_n").alias("size"), F.col("_size").alias("source_size"), F.round("_target", 4).alias("target"), (F.col("_copies") * F.col("_n")).alias("taken"))
 
 
@@ -137,7 +152,7 @@ def mix_documents(docs: DataFrame) -> DataFrame:
     rows = docs.select(F.struct(*[docs[c] for c in names]).alias("_row"), docs["doc_id"].alias("_id"), docs["source"].cast("string").alias("_source"), word_count(docs["text"]).alias("_n"), F.xxhash64(docs["text"]).alias("_h"))
     rows = shared_table(rows, "rows")
     key = ["_id", "_source", "_n", "_h"]
-    out = copies(rows.select(*key), [F.col("_n"), _tie(F.col("_id")), F.col("_id"), F.col("_h")])
+    out = copies(rows.select(*key), [*_order(F.col("_n"), F.col("_id")), F.col("_h")])
     # rows that agree in all of these are alike for the mix: their copies are summed and dealt evenly
     took = out.groupBy(*key).agg(F.sum("_copies").alias("_c"), F.count(F.lit(1)).alias("_m")).withColumnsRenamed({c: f"_k{c}" for c in key})
     joined = rows.join(took, reduce(and_, [rows[c].eqNullSafe(took[f"_k{c}"]) for c in key]))
@@ -165,13 +180,14 @@ WITH d AS (
          CAST(('0x' || substr(md5('mix-1:' || coalesce(source, '')), 1, 5)) AS BIGINT) AS m FROM f
 ), k AS (
   SELECT d.doc_id, d.source, d.size, t.source_size, t.target, t.m, CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0 END AS rate,
-         (row_number() OVER (PARTITION BY d.source ORDER BY d.size, md5('mix-1:' || coalesce(d.doc_id::VARCHAR, '')), d.doc_id) - 1)::DOUBLE AS k
+         (row_number() OVER (PARTITION BY d.source ORDER BY (length(bin(d.size + 1)) - 1) // 2, md5('mix-1:' || coalesce(d.doc_id::VARCHAR, '')), d.doc_id, d.size) - 1)::DOUBLE AS k
   FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
 ), c AS (
-  SELECT k.*, j, floor(((m + j * 65536) % 1048576) / 1048576.0::DOUBLE + rate * (k + 1))::BIGINT - floor(((m + j * 65536) % 1048576) / 1048576.0::DOUBLE + rate * k)::BIGINT AS copies
-  FROM k, (SELECT unnest(range(0, 16)) AS j)
+  SELECT doc_id, source, size, source_size, target, j::INT AS j,
+         CAST(floor(j / 65536.0::DOUBLE + (m / 1048576.0::DOUBLE + rate * (k + 1))) - floor(j / 65536.0::DOUBLE + (m / 1048576.0::DOUBLE + rate * k)) AS BIGINT) AS copies
+  FROM k, (SELECT unnest(range(0, 65536)) AS j)
 ), b AS (
-  SELECT source, j FROM c GROUP BY source, j, target QUALIFY row_number() OVER (PARTITION BY source ORDER BY abs(sum(copies * size) - target), j) = 1
+  SELECT source, min({'off': off, 'j': j}) AS best FROM (SELECT source, j, abs(sum(copies * size)::DOUBLE - any_value(target)) AS off FROM c GROUP BY source, j) GROUP BY source
 )
-SELECT doc_id, size, source_size, round(target, 4) AS target, (copies * size)::BIGINT AS taken FROM c JOIN b ON c.source IS NOT DISTINCT FROM b.source AND c.j = b.j
+SELECT doc_id, size, source_size, round(target, 4) AS target, (copies * size)::BIGINT AS taken FROM c JOIN b ON c.source IS NOT DISTINCT FROM b.source AND c.j = b.best.j
 """
