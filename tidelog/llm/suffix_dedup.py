@@ -426,16 +426,18 @@ def repeated_starts(texts: DataFrame) -> DataFrame:
     release(spark)
 
     r = runs.withColumnRenamed("th", "_th")
-    near = long.join(r, long["th"] == r["_th"]).select("th", "th2", "data", "runs")
+    # texts meet what was found about them by shuffle at every size: what was found grows with the input
+    near = long.join(r.hint("merge"), long["th"] == r["_th"]).select("th", "th2", "data", "runs")
     met = near.mapInArrow(_send_contexts(parts), SENT).repartition(parts, "bucket").mapInArrow(_meet_contexts, FOUND)
     met = shared_table(met, "contexts")
     release(spark)
 
     single = met.filter("kind < 2")
     mixed = single.groupBy(F.col("name").alias("_name")).agg(F.count(F.lit(1)).alias("n"), F.min("kind").alias("low")).filter("n > 1 and low = 0").select("_name")
+    mixed = shared_table(mixed, "mixed").hint("merge")  # a table, so that Spark can split the join on a name that very many have
     open_ = single.join(mixed, single["name"] == mixed["_name"]).groupBy(F.col("th").alias("_th"), F.col("th2").alias("_th2")).agg(F.collect_list(F.struct("a", "b", "kind")).alias("open"))
     open_ = shared_table(open_, "open")
-    todo = long.join(open_, (long["th"] == open_["_th"]) & (long["th2"] == open_["_th2"])).select("th", "th2", "data", "open")
+    todo = long.join(open_.hint("merge"), (long["th"] == open_["_th"]) & (long["th2"] == open_["_th2"])).select("th", "th2", "data", "open")
     rest = shared_table(todo.mapInArrow(_send_starts(parts), SENT).repartition(parts, "bucket").mapInArrow(_meet_starts, SPANS), "rest")
     release(spark)
 
@@ -443,7 +445,7 @@ def repeated_starts(texts: DataFrame) -> DataFrame:
     every = sure.unionByName(rest).repartition(parts, "th", "th2").sortWithinPartitions("th", "th2")
     spans = shared_table(every.mapInArrow(_merge_rows(["th", "th2", "spans"]), SPANS), "spans")
     release(spark)
-    for t in (runs, met, open_, rest):
+    for t in (runs, met, mixed, open_, rest):
         drop_table(t)
     return spans
 
@@ -470,7 +472,7 @@ def _hashed(docs: DataFrame, *columns) -> DataFrame:
 def _with_spans(docs: DataFrame, *columns) -> DataFrame:
     d = _hashed(docs, *columns)
     spans = repeated_starts(d.select("th", "th2", "data")).select(F.col("th").alias("_th"), F.col("th2").alias("_th2"), F.col("spans").alias("_spans"))
-    return d.join(spans, (d["th"] == spans["_th"]) & (d["th2"] == spans["_th2"]), "left")
+    return d.join(spans.hint("merge"), (d["th"] == spans["_th"]) & (d["th2"] == spans["_th2"]), "left")
 
 
 DIGEST = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, changed boolean, n_kept long, text string"
