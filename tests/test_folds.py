@@ -54,6 +54,12 @@ def test_flow_control():
     drops = [t for t in range(0, 1000, 10) if c(50, t)[0]]
     assert drops[0] == 100
     assert all(a <= b for a, b in zip([b - a for a, b in zip(drops, drops[1:])][1:], [b - a for a, b in zip(drops, drops[1:])]))
+    assert [c(None, 1000)[0], c(50, 1010)[0], c(50, 1110)[0]] == [False, False, True]  # empty, standing anew, after an interval
+    assert not c(50, 1110 + 1601)[0]  # the host slept
+    assert not any(folds.codel_machine(0, 100)()(50, t)[0] for t in range(0, 1000, 10))
+    assert not folds.retry_budget_machine(10, 0)()("retry", 0)[0]
+    both = folds.token_bucket_machine(10, 100, 2, 100)()
+    assert [both(60, n)[0] for n in (0, 1, 600_000_001, 600_000_002)] == [True, False, True, False]
     a = folds.aimd_machine()()
     assert [a(x)[0] for x in (True, False, False, False)] == [17, 8, 4, 4]
     t = folds.token_bucket_machine(1, 0, 2, 0)()

@@ -39,6 +39,20 @@ def test_segment_scan_keeps_the_valid_prefix(spark, tmp_path):
     assert sorted(r["reason"] for r in segments.losses(got).collect()) == ["corrupt_record_body", "corrupt_segment_header"]
 
 
+def test_compacted_segment_keeps_its_offsets(spark, tmp_path):
+    kept = [100, 103, 104, 109]
+    frames = [codec.encode_frame(q, q, b"k", payload=b"p%d" % q) for q in kept]
+    whole = codec.encode_segment(3, 50, 100, frames, covered=(48, 62, 98, 112, 5), last_seq=109)
+    (tmp_path / "seg-3.log").write_bytes(whole)
+    got = segments.scan(spark, str(tmp_path))
+    assert sorted(r["offset"] for r in segments.records(got).collect()) == [50, 53, 54, 59]
+    assert segments.losses(got).count() == 0
+    assert codec.covered_span(whole) == (48, 62, 98, 112, 5)
+    assert [loss["reason"] for _, loss in codec.read_segment(whole[:-1]) if loss] == ["torn_tail"]
+    falling = codec.encode_segment(3, 50, 100, frames[::-1], covered=(48, 62, 98, 112, 5), last_seq=109)
+    assert [loss["reason"] if loss else rec["offset"] for rec, loss in codec.read_segment(falling)] == [59, "sequence_gap"]
+
+
 def test_metrics_text(spark, tmp_path):
     (tmp_path / "m.txt").write_text('# HELP x\nup 1\nreq_total{job="a",code="200"} 12.5\nbad line here\n')
     rows = {r["metric"]: (r["labels"], r["sample"]) for r in segments.metrics(spark, str(tmp_path)).collect()}
@@ -61,6 +75,20 @@ def test_sink_is_idempotent(spark, tmp_path):
     assert sink.compact(str(tmp_path / "c"), 1).count() == 15
 
 
+def test_sink_survives_a_crash_between_files(spark, tmp_path):
+    sink = TableSink(spark, str(tmp_path / "t"))
+    sink.append(_batch(spark, 0, 10))
+    whole, mark = _batch(spark, 10, 30), sink._mark
+    sink._mark = lambda *_: (_ for _ in ()).throw(RuntimeError("killed before the mark"))
+    with pytest.raises(RuntimeError):
+        sink.append(whole.filter("offset >= 25"))  # only the file with the high offsets got out
+    sink._mark = mark
+    assert sink.next_offset() == 10 and sink.read().count() == 10
+    sink.append(whole)
+    sink.append(whole)
+    assert sorted(r[0] for r in sink.read().select("offset").collect()) == list(range(30))
+
+
 def test_sink_drains_a_stream(spark, tmp_path):
     _batch(spark, 0, 30).write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(_batch(spark, 0, 1).schema).parquet(str(tmp_path / "in"))

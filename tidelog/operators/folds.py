@@ -8,7 +8,7 @@ fit in memory; only its state does. The same machines serve the streaming form
 
 from __future__ import annotations
 
-from collections import OrderedDict, deque
+from collections import Counter, OrderedDict, deque
 from collections.abc import Callable, Iterator
 from math import isqrt
 
@@ -26,6 +26,7 @@ def fold(df: DataFrame, keys: list[str], order: list[str], columns: list[str], m
     names = [*keys, *order, *(c for c in columns if c not in keys + order)]
     results = [x.strip().split()[0].strip("`") for x in out.split(",")]
     nk = len(keys)
+    given = [names.index(c) for c in columns]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         last, step = None, None
@@ -34,8 +35,7 @@ def fold(df: DataFrame, keys: list[str], order: list[str], columns: list[str], m
             for row in frame.itertuples(index=False, name=None):
                 if row[:nk] != last:
                     last, step = row[:nk], machine()
-                got = dict(zip(names, row, strict=True))
-                rows.append((*row[: nk + len(order)], *step(*(got[c] for c in columns))))
+                rows.append((*row[: nk + len(order)], *step(*[row[k] for k in given])))
             yield pd.DataFrame(rows, columns=results)
 
     laid = df.select(*names).repartition(*keys).sortWithinPartitions(*keys, *order)
@@ -239,37 +239,35 @@ def confirm_machine(cap: int = 65_536, ttl: int = 300_000) -> Callable[[], Machi
 
 
 def codel_machine(target: int, interval: int) -> Callable[[], Machine]:
-    """Drop decisions from queueing times: standing delay above target for an interval."""
+    """Drop decisions from queueing times (RFC 8289): a delay above ``target`` that
+    stands for an ``interval`` starts a run of drops, the n-th an ``interval`` over
+    the root of n after the one before. A run soon after another goes on from there.
 
-    def make() -> Machine:
-        above, dropping, next_drop, count, last_count = None, False, 0, 0, 0
+    A delay of None says that the queue is empty. A silence of 16 intervals (the
+    host slept) forgets everything. A target or interval of 0 never drops.
+    """
 
-        def schedule(now: int) -> None:
-            nonlocal next_drop, last_count
-            next_drop = now + max(interval // max(isqrt(count), 1), 1)
-            last_count = count
+    def make() -> Machine:
+        standing, seen, running = None, None, False  # since when the delay stands, the last event, within a run
+        n, due = 0, 0  # the last drop's number in its run, and when the next may follow
 
-        def step(sojourn: int, now: int) -> tuple:
-            nonlocal above, dropping, count
-            if sojourn <= target:
-                above, dropping = None, False
+        def step(delay: int | None, now: int) -> tuple:
+            nonlocal standing, seen, running, n, due
+            if not (target and interval):
                 return (False,)
-            armed = above is not None and now >= above
-            if above is None:
-                above = now + interval
-            if dropping:
-                if now < next_drop:
-                    return (False,)
-                count += 1
-                schedule(now)
-                return (True,)
-            if armed:
-                dropping = True
-                recent = max(now - next_drop, 0) < 2 * interval
-                count = last_count - 2 if recent and last_count > 2 else 1
-                schedule(now)
-                return (True,)
-            return (False,)
+            if seen is not None and now - seen > 16 * interval:
+                standing, running, n = None, False, 0
+            seen = now
+            if delay is None or delay <= target:
+                standing, running = None, False
+                return (False,)
+            standing = now if standing is None else standing
+            if now < (due if running else standing + interval):
+                return (False,)
+            soon = now < due + 2 * interval
+            n = n + 1 if running else n - 2 if soon and n > 2 else 1
+            running, due = True, now + max(interval // isqrt(n), 1)
+            return (True,)
 
         return step
 
@@ -292,27 +290,29 @@ def aimd_machine(start: int = 16, low: int = 4, high: int = 128, up: int = 1) ->
     return make
 
 
+MICRO, SECOND = 1_000_000, 1_000_000_000  # parts of a token; nanoseconds
+
+
 def token_bucket_machine(msgs: int, bytes_: int, msg_burst: int, byte_burst: int) -> Callable[[], Machine]:
-    """Admit a message if a message token and its bytes are there; both or neither."""
-    scale = 1_000_000
+    """Admit a message if every meter with a rate can pay for it; all pay or none.
+
+    Meters are kept in millionths of a token; a rate of 0 is no meter.
+    """
 
     def make() -> Machine:
-        have_m, have_b, last = msg_burst * scale, byte_burst * scale, None
+        meters = [(rate, burst * MICRO, by_size) for rate, burst, by_size in ((msgs, msg_burst, False), (bytes_, byte_burst, True)) if rate]
+        levels, clock = [full for _, full, _ in meters], None
 
         def step(size: int, now: int) -> tuple:
-            nonlocal have_m, have_b, last
-            if last is None:
-                last = now
-            elif now > last:
-                spent = now - last
-                have_m = min(have_m + msgs * spent * scale // 1_000_000_000, msg_burst * scale)
-                have_b = min(have_b + bytes_ * spent * scale // 1_000_000_000, byte_burst * scale)
-                last = now
-            if (msgs == 0 or have_m >= scale) and (bytes_ == 0 or have_b >= size * scale):
-                have_m -= scale if msgs else 0
-                have_b -= size * scale if bytes_ else 0
-                return (True,)
-            return (False,)
+            nonlocal levels, clock
+            passed = 0 if clock is None else max(now - clock, 0)
+            clock = now if clock is None else max(clock, now)
+            levels = [min(have + rate * passed * MICRO // SECOND, full) for have, (rate, full, _) in zip(levels, meters, strict=True)]
+            price = [(size if by_size else 1) * MICRO for _, _, by_size in meters]
+            admitted = all(have >= cost for have, cost in zip(levels, price, strict=True))
+            if admitted:
+                levels = [have - cost for have, cost in zip(levels, price, strict=True)]
+            return (admitted,)
 
         return step
 
@@ -320,23 +320,24 @@ def token_bucket_machine(msgs: int, bytes_: int, msg_burst: int, byte_burst: int
 
 
 def retry_budget_machine(window: int, ratio_ppm: int, k: int = 2) -> Callable[[], Machine]:
-    """Which retries pass: a budget of requests a window, once too few are accepted."""
+    """Which retries are held back: those over a share of a window's requests, once
+    fewer than one request in ``k`` is accepted. A ratio of 0 holds none back.
+
+    Windows tumble: one begins with the first event after the last one's end.
+    """
 
     def make() -> Machine:
-        begun, requests, accepts, allowed = None, 0, 0, 0
+        begun, tally = None, Counter()  # requests of the window by kind; retries held back are none
 
         def step(kind: str, now: int) -> tuple:
-            nonlocal begun, requests, accepts, allowed
+            nonlocal begun, tally
             if begun is None or now - begun >= window:
-                begun, requests, accepts, allowed = now, 0, 0, 0
-            if kind == "retry":
-                if max(requests - k * accepts, 0) and allowed >= requests * ratio_ppm // 1_000_000:
-                    return (True,)
-                allowed, requests = allowed + 1, requests + 1
-                return (False,)
-            requests += 1
-            accepts += kind == "accept"
-            return (False,)
+                begun, tally = now, Counter()
+            requests = tally.total()
+            spent = tally["retry"] >= requests * ratio_ppm // 1_000_000
+            held = bool(kind == "retry" and ratio_ppm and requests > k * tally["accept"] and spent)
+            tally[kind] += not held
+            return (held,)
 
         return step
 

@@ -10,12 +10,17 @@ from tidelog.plans.registry import query
 from tidelog.sources.views import records, table
 
 
+def _half(spark, d):
+    """The event at which producers take a new epoch: half way through the table."""
+    return table(spark, d, "events").agg(F.expr("coalesce((max(event_id) + 1) div 2, 0)")).first()[0]
+
+
 @query("sequence_classify")
 def _(spark, d):
     i = F.col("event_id")
     n = F.row_number().over(W.partitionBy("user_id").orderBy("event_id"))
     seq = (n + F.when(i % 23 == 0, 3).otherwise(0) - F.when(i % 10 == 0, 1).otherwise(0)).cast("long")
-    epoch = (F.when(i >= 5000, 2).otherwise(1) - F.when(i % 101 == 0, 1).otherwise(0)).cast("long")
+    epoch = (F.when(i >= _half(spark, d), 2).otherwise(1) - F.when(i % 101 == 0, 1).otherwise(0)).cast("long")
     e = table(spark, d, "events").select("user_id", "event_id", epoch.alias("epoch"), seq.alias("seq"))
     return folds.fold(e, ["user_id"], ["event_id"], ["epoch", "seq", "event_id"], folds.sequence_machine, "user_id long, event_id long, decision string, detail long")
 
@@ -23,7 +28,7 @@ def _(spark, d):
 @query("dedup_window")
 def _(spark, d):
     i = F.col("offset")
-    e = records(spark, d).select("user_id", i.alias("offset"), F.when(i >= 5000, 2).otherwise(1).cast("long").alias("epoch"), F.concat(F.lit("m"), (i % 40).cast("string")).alias("msg_id"), F.col("due_ms").alias("now"))
+    e = records(spark, d).select("user_id", i.alias("offset"), F.when(i >= _half(spark, d), 2).otherwise(1).cast("long").alias("epoch"), F.concat(F.lit("m"), (i % 40).cast("string")).alias("msg_id"), F.col("due_ms").alias("now"))
     return folds.fold(e, ["user_id"], ["offset"], ["epoch", "msg_id", "offset", "now"], folds.dedup_machine(20, 5 * 86_400_000), "user_id long, offset long, decision string, held long")
 
 

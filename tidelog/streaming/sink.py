@@ -1,8 +1,10 @@
-"""Idempotent table sink: the table's own mark decides what is new.
+"""Idempotent table sink: the table's own marks decide what is new.
 
-The table is written first and its mark with it, in one commit of a batch
-folder; the reader's position comes second. After a crash between the two a
-batch comes again and is dropped by the mark.
+A batch is written into a folder of its own; then comes its mark, an empty file
+whose name has the batch's number and the next offset, made in one step. Readers
+see marked batches only. The stream's position comes last. So a crash while files
+are written leaves a folder without a mark, which the next append writes anew, and
+a crash after the mark brings the batch again, whose rows the mark then drops.
 """
 
 from __future__ import annotations
@@ -11,7 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-COLUMNS = ["offset", "timestamp_ms", "flags", "key", "headers", "payload"]
+SCHEMA = "offset long, timestamp_ms long, flags int, key binary, headers binary, payload binary"
+COLUMNS = [x.split()[0] for x in SCHEMA.split(", ")]
 
 
 class TableSink:
@@ -20,27 +23,51 @@ class TableSink:
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
 
-    def _exists(self) -> bool:
-        p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path)
-        return p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+    def _at(self, name: str):
+        """Hadoop file system and path of a name below the table."""
+        p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+        return p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), p
+
+    def _marks(self) -> list[tuple[int, int]]:
+        """(batch, next offset) of all whole batches, in order."""
+        fs, p = self._at("_marks")
+        names = [x.getPath().getName() for x in fs.listStatus(p)] if fs.exists(p) else []
+        return sorted(tuple(map(int, x.split("-"))) for x in names)
+
+    def _folder(self, batch: int) -> str:
+        return f"{self.path}/batch-{batch:010d}"
 
     def read(self) -> DataFrame:
-        return self.spark.read.parquet(self.path)
+        """All rows of marked batches."""
+        folders = [self._folder(b) for b, _ in self._marks()]
+        return self.spark.read.schema(SCHEMA).parquet(*folders) if folders else self.spark.createDataFrame([], SCHEMA)
 
     def next_offset(self) -> int:
-        """One past the last offset of the table, from file statistics; 0 if there is none."""
-        if not self._exists():
-            return 0
-        return self.read().agg(F.coalesce(F.max("offset") + 1, F.lit(0))).first()[0]
+        """One past the last offset of the table; 0 if there is none. Reads marks only."""
+        return max((n for _, n in self._marks()), default=0)
 
     def append(self, batch: DataFrame, batch_id: int | None = None) -> None:
-        """Append what the table does not hold yet; offsets of a batch must not repeat."""
-        new = batch.select(*COLUMNS).filter(F.col("offset") >= self.next_offset())
-        checked = new.withColumn("_n", F.lit(1))
-        twice = checked.groupBy("offset").agg(F.sum("_n").alias("n")).filter("n > 1").limit(1)
-        if twice.count():
+        """Append what the table does not hold yet; offsets of a batch must not repeat.
+
+        One writer at a time. ``batch_id`` is the stream's own number: a query that
+        starts over with a new checkpoint counts anew, so the marks decide, not it.
+        """
+        marks, start = self._marks(), self.next_offset()
+        new = batch.select(*[F.col(x.split()[0]).cast(x.split()[1]) for x in SCHEMA.split(", ")]).filter(F.col("offset") >= start)
+        if not new.groupBy("offset").count().filter("count > 1").isEmpty():
             raise ValueError("offsets of a batch are not strictly increasing")
-        new.sortWithinPartitions("offset").write.mode("append").parquet(self.path)
+        number = marks[-1][0] + 1 if marks else 0
+        folder = self._folder(number)
+        new.repartitionByRange("offset").sortWithinPartitions("offset").write.mode("overwrite").parquet(folder)
+        last = self.spark.read.schema(SCHEMA).parquet(folder).agg(F.max("offset")).first()[0]
+        if last is not None:
+            self._mark(number, last + 1)
+
+    def _mark(self, number: int, following: int) -> None:
+        fs, p = self._at(f"_marks/{number:010d}-{following}")
+        fs.mkdirs(p.getParent())
+        if not fs.createNewFile(p):
+            raise RuntimeError(f"batch {number} has a mark of another writer")
 
     def drain(self, stream: DataFrame, checkpoint: str) -> StreamingQuery:
         """Take all that is there now, then stop."""
