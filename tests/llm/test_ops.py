@@ -232,6 +232,43 @@ def test_ngram_groups(spark, docs, rows, n, percent):
     assert sorted(map(sorted, (c.elements() for c in (Counter({str(k): v for k, v in g.items()}) for g in groups.values())))) == sorted(map(sorted, (c.elements() for c in (Counter({str(k): v for k, v in g.items()}) for g in want.values()))))
 
 
+def test_component_ids_of_the_query(spark, docs, rows, folder):
+    roots, sizes = plain.jaccard_groups([r[1] for r in rows], 3, 90)
+    least = defaultdict(lambda: None)
+    for r, root in zip(rows, roots):
+        if r[0] is not None and (least[root] is None or r[0] < least[root]):
+            least[root] = r[0]
+    want = Counter((r[0], s, r[0] if root is None else least[root]) for r, root, s in zip(rows, roots, sizes))
+    assert as_rows(ngram_join.query(spark, folder(documents=docs)), "doc_id", "n_shingles", "component_id") == want
+
+
+@pytest.mark.parametrize("percent", [50, 80, 90])
+def test_keys_meet_wherever_sets_link(percent):
+    """Counted, certain and elected keys together: two linked sets share one, whatever the table of common n-grams holds."""
+    rng = np.random.default_rng(percent)
+    grams = np.unique(rng.integers(0, 1 << 64, 400, dtype=np.uint64))
+    sets = []
+    for _ in range(60):
+        base = rng.choice(grams, rng.integers(1, 60), replace=False)
+        sets += [np.unique(base), np.unique(np.concatenate([base[len(base) // 30 :], rng.choice(grams, 1)]))]
+    for common in (grams[:0], rng.choice(grams, 150, replace=False), grams):
+        order = ngram_join.Order(percent, common)
+        parts = [order.split(s) for s in sets]
+        df = Counter(x for counted, _, _ in parts for x in counted.tolist())
+        keys = []
+        for counted, sure, spare in parts:
+            shared = sorted((x for x in counted.tolist() if df[x] > 1), key=lambda x: (df[x], x))
+            keys.append({*sure.tolist(), *shared[: max(0, len(shared) - spare)]})
+        linked = 0
+        for i, a in enumerate(sets):
+            for j in range(i):
+                o = len(np.intersect1d(a, sets[j]))
+                if 100 * o >= percent * (len(a) + len(sets[j]) - o):
+                    linked += 1
+                    assert keys[i] & keys[j]
+        assert linked > 10
+
+
 def test_large_blocks_are_cut(spark, docs, rows, monkeypatch):
     monkeypatch.setattr(ngram_join, "BLOCK_SETS", 4)
     roots, _ = plain.jaccard_groups([r[1] for r in rows], 3, 60)

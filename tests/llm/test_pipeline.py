@@ -51,5 +51,10 @@ def test_stages(spark, sf, folder):
     assert got == want
 
 
+def test_run_on_nulls_clashes_and_repeats(spark, docs, folder):
+    out = c.run(spark, folder(documents=docs))
+    assert out.count() > 0 and out.filter("length < 1").count() == 0
+
+
 def test_run_on_an_empty_table(spark, none, folder):
     assert c.run(spark, folder(documents=none)).count() == 0

@@ -30,11 +30,13 @@ _made: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; a local one is set only where none is."""
+    """The folder all executors share. Only a session within one machine may do without the setting."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
         found = spark.sparkContext._jsc.sc().getCheckpointDir()
         at = found.get() if found.isDefined() else None
+    if not at and spark.sparkContext.master.partition("[")[0] != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     if not at:
         at = "file://" + tempfile.mkdtemp(prefix="tidelog-")
         spark.sparkContext.setCheckpointDir(at)
@@ -75,7 +77,12 @@ def drop_table(df: DataFrame) -> None:
 
 
 def release(spark: SparkSession) -> None:
-    """Let go of shuffle files that only dead DataFrames refer to."""
+    """Let go of shuffle files that only dead DataFrames refer to.
+
+    Spark drops them when the driver's collector finds their owners dead. Between
+    the steps of a long operator that may come too late for the executors' disks;
+    nothing but the time of the clean-up depends on this call.
+    """
     gc.collect()
     spark.sparkContext._jvm.System.gc()
 
