@@ -354,14 +354,41 @@ STARTS = Table("u8", "i8", "i8", "i4", "u1")  # hash of LENGTH bytes, th, th2, s
 SPANS = "th long, th2 long, spans binary"
 
 
-def _spans_by_text(th, th2, a, b) -> Iterator[pa.RecordBatch]:
-    if not len(th):
-        return
-    order = np.lexsort((a, th2, th))
+INTERVALS = Table("i8", "i8", "i4", "i4")  # th, th2, first repeated start and one past the last of a run
+_APART = np.int64(1 << 32)  # texts as stretches of one line
+
+
+def _by_text(th, th2, a, b) -> list[np.ndarray]:
+    """Runs of starts [a, b) of all texts, joined within each text; in order of texts."""
+    order = np.lexsort((th2, th))
     th, th2, a, b = th[order], th2[order], a[order].astype(np.int64), b[order].astype(np.int64)
+    new = np.concatenate([[True], (th[1:] != th[:-1]) | (th2[1:] != th2[:-1])])
+    text = np.cumsum(new) - 1
+    s, e = union(text * _APART + a, text * _APART + b)
+    of, first = s // _APART, np.flatnonzero(new)
+    return [th[first][of], th2[first][of], s - of * _APART, e - of * _APART]
+
+
+def _send_spans(buckets: int, th, th2, a, b) -> Iterator[pa.RecordBatch]:
+    """Runs to the buckets of their texts, one blob a bucket however many texts there are."""
+    if len(th):
+        cols = _by_text(th, th2, a, b)
+        order, cut = to_buckets(cols[0].view(np.uint64), buckets)
+        yield _sent([(k, INTERVALS.pack([c[order[x:y]] for c in cols])) for k, (x, y) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if y > x])
+
+
+def _meet_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row a text with all its runs."""
+    held = [INTERVALS.unpack(raw) for batch in batches for raw in batch.column(1).to_pylist()]
+    if not held:
+        return
+    th, th2, s, e = _by_text(*INTERVALS.join(held))
+    del held
     cut = np.flatnonzero(np.concatenate([[True], (th[1:] != th[:-1]) | (th2[1:] != th2[:-1]), [True]]))
-    rows = [pack_intervals(*union(a[x:y], b[x:y] + 1)) for x, y in zip(cut[:-1], cut[1:], strict=True)]
-    yield pa.RecordBatch.from_arrays([pa.array(th[cut[:-1]], pa.int64()), pa.array(th2[cut[:-1]], pa.int64()), pa.array(rows, pa.binary())], names=["th", "th2", "spans"])
+    for k in range(0, len(cut) - 1, 4096):
+        ends = cut[k : k + 4097]
+        rows = [pack_intervals(s[x:y], e[x:y]) for x, y in zip(ends[:-1], ends[1:], strict=True)]
+        yield pa.RecordBatch.from_arrays([pa.array(th[ends[:-1]], pa.int64()), pa.array(th2[ends[:-1]], pa.int64()), pa.array(rows, pa.binary())], names=["th", "th2", "spans"])
 
 
 def _send_starts(buckets: int):
@@ -391,22 +418,29 @@ def _send_starts(buckets: int):
     return run
 
 
-def _meet_starts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held = []
-    for batch in batches:
-        for bucket, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            cols = STARTS.unpack(raw)
-            if bucket < 0:
-                yield from _spans_by_text(cols[1], cols[2], cols[3], cols[3])
-            else:
-                held.append(cols)
-    _, out = _split_repeats(STARTS.join(held), 4)
-    yield from _spans_by_text(out[1], out[2], out[3], out[3])
+def _meet_starts(buckets: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = []
+        for batch in batches:
+            for bucket, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                cols = STARTS.unpack(raw)
+                if bucket < 0:
+                    yield from _send_spans(buckets, cols[1], cols[2], cols[3], cols[3] + 1)
+                else:
+                    held.append(cols)
+        _, out = _split_repeats(STARTS.join(held), 4)
+        yield from _send_spans(buckets, out[1], out[2], out[3], out[3] + 1)
+
+    return run
 
 
-def _spans_of_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for x in batches:
-        yield from _spans_by_text(*(x.column(k).to_numpy(zero_copy_only=False) for k in range(4)))
+def _spans_of_rows(buckets: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x in batches:
+            th, th2, a, b = (x.column(k).to_numpy(zero_copy_only=False) for k in range(4))
+            yield from _send_spans(buckets, th, th2, a, b + 1)
+
+    return run
 
 
 # ------------------------------------------------------------------ on Spark
@@ -438,12 +472,11 @@ def repeated_starts(texts: DataFrame) -> DataFrame:
     open_ = single.join(mixed, single["name"] == mixed["_name"]).groupBy(F.col("th").alias("_th"), F.col("th2").alias("_th2")).agg(F.collect_list(F.struct("a", "b", "kind")).alias("open"))
     open_ = shared_table(open_, "open")
     todo = long.join(open_.hint("merge"), (long["th"] == open_["_th"]) & (long["th2"] == open_["_th2"])).select("th", "th2", "data", "open")
-    rest = shared_table(todo.mapInArrow(_send_starts(parts), SENT).repartition(parts, "bucket").mapInArrow(_meet_starts, SPANS), "rest")
+    rest = shared_table(todo.mapInArrow(_send_starts(parts), SENT).repartition(parts, "bucket").mapInArrow(_meet_starts(parts), SENT), "rest")
     release(spark)
 
-    sure = met.filter("kind = 2").select("th", "th2", "a", "b").mapInArrow(_spans_of_rows, SPANS)
-    every = sure.unionByName(rest).repartition(parts, "th", "th2").sortWithinPartitions("th", "th2")
-    spans = shared_table(every.mapInArrow(_merge_rows(["th", "th2", "spans"]), SPANS), "spans")
+    sure = met.filter("kind = 2").select("th", "th2", "a", "b").mapInArrow(_spans_of_rows(parts), SENT)
+    spans = shared_table(sure.unionByName(rest).repartition(parts, "bucket").mapInArrow(_meet_spans, SPANS), "spans")
     release(spark)
     for t in (runs, met, mixed, open_, rest):
         drop_table(t)
