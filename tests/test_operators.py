@@ -116,3 +116,19 @@ def test_backup_manifest(spark, tmp_path):
     (tmp_path / "a.bin").write_bytes(b"hello")
     m = admin.manifest(spark.read.format("binaryFile").load(str(tmp_path))).collect()
     assert [tuple(r) for r in m] == [("a.bin", zlib.crc32(b"hello"), 5)]
+
+
+def test_gate_outcomes(spark):
+    schema = "device string, unix_secs long, throughput double, p99 double, p999 double, warmup_ok boolean"
+    now = 1_700_000_000
+    base = spark.createDataFrame([("a", now - 10**7, 100.0, 100.0, 100.0, True)], schema)
+
+    def outcome(rows, before=base, **more):
+        return tuple(reports.gate_outcome(spark.createDataFrame(rows, schema), before, now, **more).first())
+
+    slow, cold = [("a", now, 89.0, 100.0, 100.0, True)], [("a", now, 1.0, 1.0, 1.0, False)]
+    assert outcome(slow) == ("fail", 1)
+    assert outcome(slow, ratified="known cause") == ("ratified", 1)
+    assert outcome([("a", now, 91.0, 100.0, 100.0, True)]) == ("pass", 0)
+    assert outcome(cold) == ("insufficient_data", 0)
+    assert outcome(slow, base.limit(0)) == ("no_baseline", 0)

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -72,29 +71,36 @@ def occupancy(rate: Column, wait_us: Column) -> Column:
     return F.when(~bad, rate * (wait_us / 1_000_000.0))
 
 
-def regression_gate(current: DataFrame, baseline: DataFrame, now: int, days: int = 7, ratified: Sequence[str] = ()) -> DataFrame:
-    """Per device: which limits its medians break, and one of five outcomes.
-
-    ``no_baseline``: nothing to compare with; ``insufficient_data``: no run of the
-    window that was warmed up; ``ratified``: broken, but the device is one of those
-    that somebody signed off; else ``fail`` or ``pass``.
-    """
+def regression_gate(current: DataFrame, baseline: DataFrame, now: int, days: int = 7) -> DataFrame:
+    """Per device: medians now and before, and which limits are broken."""
     metrics = ("throughput", "p99", "p999")
+    cur = current.filter(F.col("warmup_ok") & F.col("unix_secs").between(now - days * 86_400, now))
 
     def med(df: DataFrame, tag: str) -> DataFrame:
-        return df.groupBy(F.col("device").alias(f"device_{tag}")).agg(*[F.median(m).alias(f"{m}_{tag}") for m in metrics])
+        return df.groupBy("device").agg(*[F.median(m).alias(f"{m}_{tag}") for m in metrics])
 
-    cur = med(current.filter(F.col("warmup_ok") & F.col("unix_secs").between(now - days * 86_400, now)), "now")
-    base = med(baseline.filter("warmup_ok"), "base")
-    devices = current.select("device").union(baseline.select("device")).distinct()
-    j = devices.join(cur, devices["device"] == cur["device_now"], "left").join(base, devices["device"] == base["device_base"], "left")
+    j = med(cur, "now").join(med(baseline.filter("warmup_ok"), "base"), "device")
     change = {m: F.try_divide(F.col(f"{m}_now") - F.col(f"{m}_base"), F.col(f"{m}_base")) for m in metrics}
     broken = {"throughput": -change["throughput"] > 0.10, "p99": change["p99"] > 0.15, "p999": change["p999"] > 0.25}
     flags = [F.coalesce((F.col(f"{m}_base") > 0) & broken[m], F.lit(False)).alias(f"{m}_breach") for m in metrics]
-    any_broken = reduce(lambda a, b: a | b, [F.col(f"{m}_breach") for m in metrics])
-    signed = F.col("device").isin(list(ratified)) if ratified else F.lit(False)
-    outcome = F.when(F.col("device_base").isNull(), "no_baseline").when(F.col("device_now").isNull(), "insufficient_data").when(~any_broken, "pass").when(signed, "ratified").otherwise("fail")
-    return j.select("device", "device_now", "device_base", *flags).withColumn("outcome", outcome).drop("device_now", "device_base")
+    verdict = F.when(reduce(lambda a, b: a | b, [F.col(f"{m}_breach") for m in metrics]), "fail").otherwise("pass")
+    return j.select("device", *flags).withColumn("outcome", verdict)
+
+
+def gate_outcome(current: DataFrame, baseline: DataFrame, now: int, days: int = 7, ratified: str | None = None) -> DataFrame:
+    """The whole gate's outcome, one row.
+
+    ``no_baseline``: no run to compare with; ``insufficient_data``: no run of the
+    window that was warmed up; else ``pass``, or with a device over a limit ``fail``,
+    or ``ratified`` if somebody gave a reason to accept it.
+    """
+    some = F.coalesce(F.count(F.lit(1)) > 0, F.lit(False)).alias("some")
+    old = baseline.agg(some.alias("had"))
+    new = current.filter(F.col("warmup_ok") & F.col("unix_secs").between(now - days * 86_400, now)).agg(some.alias("has"))
+    broken = regression_gate(current, baseline, now, days).agg(F.count_if(F.col("outcome") == "fail").alias("broken"))
+    outcome = F.when(~F.col("had"), "no_baseline").when(~F.col("has"), "insufficient_data").when(F.col("broken") == 0, "pass").otherwise("ratified" if ratified else "fail")
+    # one row each
+    return old.join(new).join(broken).select(outcome.alias("outcome"), "broken")
 
 
 def latest_then_median(rows: DataFrame, cell: list[str], run: list[str], order: str, value: str) -> DataFrame:

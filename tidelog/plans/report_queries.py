@@ -182,14 +182,24 @@ def _runs(spark, d):
     "regression_gate",
     f"""WITH {RUN_SQL}, c AS (SELECT device, median(throughput) AS t, median(p99) AS p, median(p999) AS q FROM run WHERE warmup_ok AND unix_secs BETWEEN {NOW_S} - 604800 AND {NOW_S} GROUP BY device),
     b AS (SELECT device, median(throughput) AS t, median(p99) AS p, median(p999) AS q FROM run WHERE warmup_ok AND unix_secs < {NOW_S} - 604800 GROUP BY device),
-    j AS (SELECT device, coalesce(b.t > 0 AND (b.t - c.t) / b.t > 0.10, false) AS tb, coalesce(b.p > 0 AND (c.p - b.p) / b.p > 0.15, false) AS pb, coalesce(b.q > 0 AND (c.q - b.q) / b.q > 0.25, false) AS qb,
-      b.t IS NULL AS new, c.t IS NULL AS gone FROM (SELECT DISTINCT device FROM run) LEFT JOIN c USING (device) LEFT JOIN b USING (device))
-    SELECT device, tb AS throughput_breach, pb AS p99_breach, qb AS p999_breach,
-      CASE WHEN new THEN 'no_baseline' WHEN gone THEN 'insufficient_data' WHEN NOT (tb OR pb OR qb) THEN 'pass' WHEN device = 'view' THEN 'ratified' ELSE 'fail' END AS outcome FROM j""",
+    j AS (SELECT device, b.t > 0 AND (b.t - c.t) / b.t > 0.10 AS tb, b.p > 0 AND (c.p - b.p) / b.p > 0.15 AS pb, b.q > 0 AND (c.q - b.q) / b.q > 0.25 AS qb FROM c JOIN b USING (device))
+    SELECT device, tb AS throughput_breach, pb AS p99_breach, qb AS p999_breach, CASE WHEN tb OR pb OR qb THEN 'fail' ELSE 'pass' END AS outcome FROM j""",
 )
 def _(spark, d):
     runs = _runs(spark, d)
-    return reports.regression_gate(runs, runs.filter(F.col("unix_secs") < NOW_S - 604_800), NOW_S, ratified=["view"])
+    return reports.regression_gate(runs, runs.filter(F.col("unix_secs") < NOW_S - 604_800), NOW_S)
+
+
+@query(
+    "regression_outcome",
+    f"""WITH {RUN_SQL}, c AS (SELECT device, median(throughput) AS t, median(p99) AS p, median(p999) AS q FROM run WHERE warmup_ok AND unix_secs BETWEEN {NOW_S} - 604800 AND {NOW_S} GROUP BY device),
+    b AS (SELECT device, median(throughput) AS t, median(p99) AS p, median(p999) AS q FROM run WHERE warmup_ok AND unix_secs < {NOW_S} - 604800 GROUP BY device),
+    n AS (SELECT count(*) FILTER (b.t > 0 AND (b.t - c.t) / b.t > 0.10 OR b.p > 0 AND (c.p - b.p) / b.p > 0.15 OR b.q > 0 AND (c.q - b.q) / b.q > 0.25) AS broken FROM c JOIN b USING (device))
+    SELECT CASE WHEN NOT EXISTS (SELECT * FROM run WHERE unix_secs < {NOW_S} - 604800) THEN 'no_baseline' WHEN NOT EXISTS (SELECT * FROM c) THEN 'insufficient_data' WHEN broken = 0 THEN 'pass' ELSE 'fail' END AS outcome, broken FROM n""",
+)
+def _(spark, d):
+    runs = _runs(spark, d)
+    return reports.gate_outcome(runs, runs.filter(F.col("unix_secs") < NOW_S - 604_800), NOW_S)
 
 
 @query("bench_medians", f"WITH {RUN_SQL} SELECT device, round(median(throughput), 6) AS median, count(throughput) AS n FROM run GROUP BY device")
