@@ -132,3 +132,31 @@ def disposition(deliveries: Column, max_deliver: int) -> Column:
     return F.when((F.lit(max_deliver) != 0) & (deliveries > max_deliver), "dead_letter").otherwise("deliver")
 
 
+
+
+def truncate_epochs(epochs: DataFrame, cuts: DataFrame) -> DataFrame:
+    """Epoch histories after their logs were cut at ``truncate_to``: entries from there on go."""
+    j = epochs.join(cuts, LOG, "left")
+    return j.filter(F.col("truncate_to").isNull() | (F.col("start_offset") < F.col("truncate_to"))).drop("truncate_to")
+
+
+def dirty_run(records: DataFrame, segments: DataFrame, log: list[str], now_ms: int, tombstone_ttl: int, least_permille: int = 500, most: int = 8) -> DataFrame:
+    """Segments that one compaction pass of each log takes, if the pass is worth it.
+
+    ``segments``: log, segment_id, base, end, compacted. Sources are sealed (not the
+    newest) and not compacted yet: from the lowest on, as long as each begins where
+    the one before ended, 2 to ``most``. The pass is worth it if it drops enough of
+    the run's rows. One row a segment is ordered; rows meet the chosen ones only.
+    """
+    w = W.partitionBy(*log).orderBy("base")
+    s = segments.withColumn("_newest", F.max("segment_id").over(W.partitionBy(*log)))
+    s = s.filter(~F.col("compacted") & (F.col("segment_id") < F.col("_newest")))
+    torn = F.coalesce(F.col("base") != F.lag("end").over(w), F.lit(False)).cast("int")
+    s = s.withColumn("_torn", torn).withColumn("_holes", F.sum("_torn").over(w)).withColumn("_i", F.row_number().over(w))
+    s = s.filter((F.col("_holes") == 0) & (F.col("_i") <= most)).withColumn("_size", F.count(F.lit(1)).over(W.partitionBy(*log)))
+    run = s.filter("_size >= 2").select(*log, "segment_id")
+    rows = records.join(run, [*log, "segment_id"], "left_semi")
+    kept = compact(rows, now_ms, tombstone_ttl, log).groupBy(*log).agg(F.count(F.lit(1)).alias("_kept"))
+    sums = rows.groupBy(*log).agg(F.count(F.lit(1)).alias("total")).join(kept, log, "left")
+    sums = sums.withColumn("dropped", F.col("total") - F.coalesce("_kept", F.lit(0))).drop("_kept")
+    return run.join(sums.filter(F.col("dropped") * 1000 >= F.col("total") * least_permille), log)
