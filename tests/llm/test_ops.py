@@ -357,6 +357,74 @@ def test_quality_rules_reject_noise_and_keep_prose(spark, sf):
 # --------------------------------------------------------------------- media
 
 
+def _crc(data, table, width):
+    crc = 0
+    for x in data:
+        crc = (crc << 8 & ((1 << width) - 1)) ^ table[crc >> (width - 8) ^ x]
+    return crc
+
+
+def _flac_file(blocks, total=None):
+    """Frames of one constant 8-bit channel, 192 samples each."""
+    info = (192).to_bytes(2, "big") * 2 + bytes(6) + ((8000 << 44 | 7 << 36 | (192 * blocks if total is None else total)).to_bytes(8, "big")) + bytes(16)
+    out = b"fLaC\x80" + (34).to_bytes(3, "big") + info
+    for k in range(blocks):
+        head = bytes([0xFF, 0xF8, 0x14, 0x02, k])
+        frame = head + bytes([_crc(head, media.CRC8, 8)]) + bytes([0, 40 + k])
+        out += frame + _crc(frame, media.CRC16, 16).to_bytes(2, "big")
+    return out
+
+
+def test_media_lengths_are_exact():
+    """What follows a file does not belong to it; what only looks like its end does not end it."""
+    import io
+    import zipfile
+
+    def lengths(raw):
+        return [(at, n, media.FORMATS[k][0]) for at, n, k in media.Sniffer().files(raw)]
+
+    flac = _flac_file(5)
+    assert lengths(flac) == [(0, len(flac), "flac")] and lengths(b"ab" + flac + b"tail" * 9) == [(2, len(flac), "flac")]
+    assert lengths(flac[:-1]) == [] and lengths(_flac_file(5, total=5000)) == []
+    assert lengths(_flac_file(3, total=0)) == [(0, len(_flac_file(3)), "flac")]
+
+    def pdf(revisions):
+        out = b"%PDF-1.4\n1 0 obj <<>> endobj\n"
+        for _ in range(revisions):
+            at = len(out)
+            out += b"xref\n0 1\ntrailer <<>>\nstartxref\n%d\n%%%%EOF" % at
+        return out
+
+    assert lengths(pdf(3) + b" and text") == [(0, len(pdf(3)), "pdf")]
+    assert lengths(b"--" + pdf(2) + pdf(1) + b"!") == [(2, len(pdf(2)), "pdf"), (2 + len(pdf(2)), len(pdf(1)), "pdf")]
+
+    inner, outer = io.BytesIO(), io.BytesIO()
+    with zipfile.ZipFile(inner, "w") as f:
+        f.writestr("a", "hello")
+    with zipfile.ZipFile(outer, "w") as f:
+        f.writestr("in.zip", inner.getvalue())  # stored: its end record comes first
+        f.comment = b"PK\x05\x06"
+    z = outer.getvalue()
+    got = lengths(b"x" + z + b"y" * 30)
+    assert (1, len(z), "zip") in got and (1 + z.index(inner.getvalue()), len(inner.getvalue()), "zip") in got and len(got) == 2
+
+    def page(kind, serial, body):
+        return b"OggS\0" + bytes([kind]) + bytes(8) + bytes([serial]) * 4 + bytes(8) + b"\x01" + bytes([len(body)]) + body
+
+    two = page(2, 1, b"a") + page(2, 2, b"b") + page(4, 1, b"c") + page(4, 2, b"d")
+    assert lengths(two + b"OggS")[0] == (0, len(two), "ogg")
+    assert media.Sniffer().sniff(two + b"..", "audio/ogg")[2] == []  # pages within belong to the file
+
+
+def test_media_many_beginnings_take_one_pass():
+    import time
+
+    raw = (b"%PDF-" + b"PK\x03\x04") * 40_000 + b"PK\x05\x06" * 1000
+    start = time.time()
+    assert list(media.Sniffer().files(raw)) == []
+    assert time.time() - start < 20
+
+
 def test_media_payload(spark, docs, rows, folder):
     got = media.query(spark, folder(documents=docs)).collect()
     want = Counter()

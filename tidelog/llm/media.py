@@ -17,9 +17,12 @@ of the row matters. Empty tables give empty tables; extra columns are ignored.
 from __future__ import annotations
 
 import hashlib
+import re
 import struct
 import zlib
+from bisect import bisect_left
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import ahocorasick
 import pyarrow as pa
@@ -127,18 +130,63 @@ def _wav(b: bytes, at: int) -> int:
     return 8 + int.from_bytes(b[at + 4 : at + 8], "little")
 
 
+@lru_cache(maxsize=2)
+def _pdf_ends(b: bytes) -> dict[int, int]:
+    """End of the file that begins at each place, by the cross-reference its trailers point to.
+
+    ``startxref N`` counts from the file's own beginning. N leads to the table or
+    stream right before the trailer, or, in a file arranged for the web, to one
+    behind the nearest beginning. The last trailer that agrees ends the file, so
+    later revisions belong to it. One pass over the bytes, whatever they hold.
+    """
+    starts = [m.start() for m in re.finditer(b"%PDF-", b)]
+    tables = [m.start() for m in re.finditer(rb"(?<!start)xref\b|\b\d+ \d+ obj\b", b)]
+    ends = {}
+    for m in re.finditer(rb"startxref\s+(\d{1,12})\s+%%EOF", b):
+        k, j = bisect_left(tables, m.start()), bisect_left(starts, m.start())
+        to = int(m[1])
+        near = starts[j - 1] if j else -1
+        target = bisect_left(tables, near + to)
+        if k and b.startswith(b"%PDF-", max(tables[k - 1] - to, 0)) and tables[k - 1] >= to:
+            ends[tables[k - 1] - to] = m.end()
+        elif near >= 0 and to and target < len(tables) and tables[target] == near + to:
+            ends[near] = m.end()
+    return ends
+
+
 def _pdf(b: bytes, at: int) -> int:
+    """Where no trailer agrees with the file's beginning, the first end mark behind a trailer counts."""
+    if at in (ends := _pdf_ends(b)):
+        return ends[at] - at
     end = b.find(b"%%EOF", at)
     return end + 5 - at if end > 0 and b.find(b"startxref", at, end) > 0 else 0
 
 
+@lru_cache(maxsize=2)
+def _zip_ends(b: bytes) -> dict[int, int]:
+    """End of the archive that begins at each place, by its end records (64-bit ones too).
+
+    A record says how long the directory before it is and where that begins, hence
+    where the archive does; a mark within a comment or a stored file says otherwise.
+    """
+    ends = {}
+    for m in re.finditer(b"PK\x05\x06", b):
+        e = m.start()
+        if e + 22 > len(b):
+            break
+        size, start, note = struct.unpack_from("<IIH", b, e + 12)
+        last = e
+        if 0xFFFFFFFF in (size, start) and e >= 76 and b.startswith(b"PK\x06\x07", e - 20) and b.startswith(b"PK\x06\x06", e - 76):
+            size, start = struct.unpack_from("<QQ", b, e - 76 + 40)
+            last = e - 76
+        begin = last - size - start
+        if begin >= 0 and e + 22 + note <= len(b) and b[begin + start : begin + start + 4] in (b"PK\x01\x02", b"PK\x05\x06"):
+            ends[begin] = e + 22 + note
+    return ends
+
+
 def _zip(b: bytes, at: int) -> int:
-    end = b.find(b"PK\x05\x06", at)
-    if end < 0 or end + 22 > len(b):
-        return 0
-    size, start, note = struct.unpack_from("<IIH", b, end + 12)
-    whole = start + size == end - at and end + 22 + note <= len(b)
-    return end + 22 + note - at if whole and b[at + start : at + start + 4] in (b"PK\x01\x02", b"PK\x05\x06") else 0
+    return _zip_ends(b).get(at, at) - at
 
 
 def _gzip(b: bytes, at: int) -> int:
@@ -153,27 +201,92 @@ def _gzip(b: bytes, at: int) -> int:
     return len(b) - at - len(d.unused_data) if d.eof else 0
 
 
+def _table(poly: int, width: int) -> list[int]:
+    """Table of a cyclic checksum, highest bit first."""
+    top, mask, out = 1 << (width - 1), (1 << width) - 1, []
+    for v in range(256):
+        v <<= width - 8
+        for _ in range(8):
+            v = (v << 1 ^ poly if v & top else v << 1) & mask
+        out.append(v)
+    return out
+
+
+CRC8, CRC16 = _table(0x07, 8), _table(0x8005, 16)
+
+
+def _flac_frame(b: bytes, p: int) -> tuple[int, int]:
+    """(bytes of the header, samples) of a frame, (0, 0) if none begins here."""
+    if p + 6 > len(b) or b[p] != 0xFF or b[p + 1] & 0xFE != 0xF8 or b[p + 3] & 1 or b[p + 2] >> 4 == 0:
+        return 0, 0
+    lead = b[p + 4]
+    more = 0 if lead < 0x80 else 8 - (lead ^ 0xFF).bit_length() - 1
+    if 0x80 <= lead < 0xC0 or lead == 0xFF:
+        return 0, 0
+    q, code, rate = p + 5 + more, b[p + 2] >> 4, b[p + 2] & 15
+    extra = {6: 1, 7: 2}.get(code, 0)
+    block = 192 if code == 1 else 576 << code - 2 if code < 6 else 256 << code - 8 if code > 7 else int.from_bytes(b[q : q + extra], "big") + 1
+    q += extra + {12: 1, 13: 2, 14: 2}.get(rate, 0)
+    if rate == 15 or q >= len(b):
+        return 0, 0
+    crc = 0
+    for x in b[p:q]:
+        crc = CRC8[crc ^ x]
+    return (q + 1 - p, block) if crc == b[q] else (0, 0)
+
+
 def _flac(b: bytes, at: int) -> int:
-    p, first = at + 4, True
-    while p + 4 <= len(b):
+    """Frames are walked until the samples that the header promises are there.
+
+    A frame ends where its checksum comes out even and the next one begins. Behind
+    the last one there is no such sign: the end of the bytes, if the checksum comes
+    out there, else the first place where it does.
+    """
+    p, first, total, least = at + 4, True, 0, 0
+    while True:
+        if p + 4 > len(b):
+            return 0
         size = int.from_bytes(b[p + 1 : p + 4], "big")
-        if first and (b[p] & 0x7F or size != 34):
+        if first and (b[p] & 0x7F or size != 34 or p + 38 > len(b)):
             return 0
+        if first:
+            least, total = int.from_bytes(b[p + 8 : p + 11], "big"), int.from_bytes(b[p + 14 : p + 22], "big") & 0xFFFFFFFFF
         last, p, first = b[p] & 0x80, p + 4 + size, False
         if last:
-            return len(b) - at if p + 2 <= len(b) and b[p] == 0xFF and b[p + 1] & 0xFC == 0xF8 else 0
+            break
+    head, samples = _flac_frame(b, p)
+    while head:
+        crc, even, following = 0, [], 0
+        done = total and samples >= total
+        for e in range(p, len(b)):
+            crc = (crc << 8 & 0xFFFF) ^ CRC16[crc >> 8 ^ b[e]]
+            if crc == 0 and e + 1 - p >= max(least, head + 3):
+                even.append(e + 1)
+                if not done and _flac_frame(b, e + 1)[0]:
+                    following = e + 1
+                    break
+        if not following:
+            whole = bool(even) and (done or not total)
+            return (len(b) if even[-1] == len(b) else even[0]) - at if whole else 0
+        p = following
+        head, block = _flac_frame(b, p)
+        samples += block
     return 0
 
 
 def _ogg(b: bytes, at: int) -> int:
-    p = at
+    """Pages are walked until every stream that has begun has its last page."""
+    p, going = at, set()
     while p + 27 <= len(b) and b[p : p + 5] == b"OggS\0":
-        n = b[p + 26]
+        n, serial = b[p + 26], b[p + 14 : p + 18]
         size = 27 + n + sum(b[p + 27 : p + 27 + n])
         if p + size > len(b):
             return 0
-        last, p = b[p + 5] & 4, p + size
-        if last:
+        going.add(serial)
+        if b[p + 5] & 4:
+            going.discard(serial)
+        p += size
+        if not going and not b[p : p + 6] == b"OggS\0\2":
             return p - at
     return 0
 
@@ -215,7 +328,8 @@ class Sniffer:
         kind = FORMATS[outer[2]][1] if outer else ("application/octet-stream" if declared.partition("/")[0] in ("image", "audio", "video") else declared)
         inside, free = [], 1
         for at, size, k in found:  # a file within a carved file belongs to that one
-            if at >= free:
+            page = outer and FORMATS[k][0] == "ogg" and k == outer[2] and at < outer[1]  # no file of its own
+            if at >= free and not page:
                 inside.append((at, size, FORMATS[k][0]))
                 free = at + size
         return kind, kind != declared, inside
