@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tidelog.operators.scan import running
+
 
 LOG = ["stream", "partition"]
 
@@ -127,6 +129,18 @@ def nack_backoff(attempt: Column, schedule: list[int], explicit: Column | None =
     return F.coalesce(explicit, step) if explicit is not None else step
 
 
+def drain_turns(records: DataFrame, lane: str) -> DataFrame:
+    """Turn of each row when higher lanes of a log drain first, each in offset order.
+
+    A row's turn is its place in its lane, counted along segments, after all rows of
+    the higher lanes, which are one total a lane.
+    """
+    own = running(records, [*LOG, lane], "segment_id", "offset", F.lit(1).cast("long"), "sum", "_place")
+    higher = W.partitionBy(*LOG).orderBy(F.desc(lane)).rowsBetween(W.unboundedPreceding, -1)
+    totals = records.groupBy(*LOG, lane).agg(F.count(F.lit(1)).alias("_n")).withColumn("_above", F.coalesce(F.sum("_n").over(higher), F.lit(0))).drop("_n")
+    return own.join(totals, [*LOG, lane]).withColumn("turn", F.col("_place") + F.col("_above")).drop("_place", "_above")
+
+
 def disposition(deliveries: Column, max_deliver: int) -> Column:
     """Dead-letter a message delivered more often than allowed; 0 allows any number."""
     return F.when((F.lit(max_deliver) != 0) & (deliveries > max_deliver), "dead_letter").otherwise("deliver")

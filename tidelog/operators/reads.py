@@ -14,10 +14,15 @@ LOG = ["stream", "partition"]
 def offset_window(records: DataFrame, start: int, max_records: int, max_bytes: int) -> DataFrame:
     """Per log, from ``start`` on, at most so many records and bytes, but always one.
 
-    The scan is bounded before any window: the first ``max_records`` offsets of a
-    log can only lie in its first segments, so windows run within segments.
+    Segments are counted first, one row each. Only those in which the window can
+    still be open are read for rows, so a small window of a long log stays small.
     """
-    df = records.filter(F.col("offset") >= start).withColumn("_len", F.octet_length("payload").cast("long"))
+    df = records.filter(F.col("offset") >= start)
+    held = df.groupBy(*LOG, "segment_id").agg(F.count(F.lit(1)).alias("_rows"), F.sum(F.octet_length("payload")).alias("_size"))
+    before = W.partitionBy(*LOG).orderBy("segment_id").rowsBetween(W.unboundedPreceding, -1)
+    held = held.withColumn("_r", F.sum("_rows").over(before)).withColumn("_s", F.coalesce(F.sum("_size").over(before), F.lit(0)))
+    open_ = held.filter(F.col("_r").isNull() | (F.col("_r") < max_records) & (F.col("_s") <= max_bytes)).select(*LOG, "segment_id")
+    df = df.join(open_, [*LOG, "segment_id"], "left_semi").withColumn("_len", F.octet_length("payload").cast("long"))
     df = running(df, LOG, "segment_id", "offset", F.lit(1), "sum", "_n")
     df = running(df, LOG, "segment_id", "offset", F.col("_len"), "sum", "_bytes")
     return df.filter((F.col("_n") == 1) | (F.col("_n") <= max_records) & (F.col("_bytes") <= max_bytes)).drop("_n", "_bytes", "_len")

@@ -59,8 +59,15 @@ def loss_caps(losses: DataFrame, durable_bytes: Column, per_event: int) -> DataF
     return s.select("largest", "total", "cap", F.when(F.col("largest") > per_event, "per_event").when(F.col("total") > F.col("cap"), "global").otherwise("ok").alias("verdict"))
 
 
-def percentiles(df: DataFrame, by: list[str], value: str) -> DataFrame:
-    p = F.percentile(value, F.array(F.lit(0.5), F.lit(0.99), F.lit(0.999)))
+def percentiles(df: DataFrame, by: list[str], value: str, accuracy: int | None = None) -> DataFrame:
+    """p50, p99, p999 and the maximum of each group.
+
+    Exact, with interpolation, unless ``accuracy`` is given: exact ones keep a count
+    for each distinct value of a group, approximate ones a sketch of bounded size
+    whose ranks are off by at most 1/accuracy of the group's rows.
+    """
+    ranks = F.array(F.lit(0.5), F.lit(0.99), F.lit(0.999))
+    p = F.percentile(value, ranks) if accuracy is None else F.percentile_approx(value, ranks, accuracy)
     out = df.groupBy(*by).agg(p.alias("_p"), F.max(value).alias("max"))
     return out.select(*by, *[F.round(F.get("_p", F.lit(k)), 6).alias(n) for k, n in enumerate(("p50", "p99", "p999"))], "max")
 

@@ -26,8 +26,25 @@ def running(df: DataFrame, log: list[str], segment: str, order: str, value: Colu
     return base.withColumn("_own", agg("_v").over(rows)).join(totals, [*log, segment], "left").withColumn(name, join(F.col("_own"), F.col("_before"))).drop("_v", "_own", "_before")
 
 
-def islands(df: DataFrame, log: list[str], order: str) -> DataFrame:
-    """Merge rows of consecutive ``order`` values into (log..., start, end) ranges, end exclusive."""
-    w = W.partitionBy(*log).orderBy(order)
-    g = df.select(*log, order).distinct().withColumn("_g", F.col(order) - F.row_number().over(w))
-    return g.groupBy(*log, "_g").agg(F.min(order).alias("start"), (F.max(order) + 1).alias("end")).drop("_g")
+def islands(df: DataFrame, log: list[str], order: str, width: int = 1 << 16) -> DataFrame:
+    """Merge rows of consecutive ``order`` values into (log..., start, end) ranges, end exclusive.
+
+    Ranges form within blocks of ``width`` values. Only those that reach a block's
+    edge, two a block at most, are then put in order along the log to be joined up.
+    """
+    w = W.partitionBy(*log, "_b").orderBy(order)
+    g = df.select(*log, order).distinct().withColumn("_b", F.expr(f"`{order}` div {width}"))
+    g = g.withColumn("_g", F.col(order) - F.row_number().over(w))
+    runs = g.groupBy(*log, "_b", "_g").agg(F.min(order).alias("start"), (F.max(order) + 1).alias("end")).drop("_b", "_g")
+    edge = (F.col("start") % width == 0) | (F.col("end") % width == 0)
+    along = W.partitionBy(*log).orderBy("start")
+    cut = runs.filter(edge).withColumn("_new", (F.col("start") != F.coalesce(F.lag("end").over(along), F.lit(-1))).cast("int"))
+    cut = cut.withColumn("_k", F.sum("_new").over(along))
+    whole = cut.groupBy(*log, "_k").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("_k")
+    return runs.filter(~edge).unionByName(whole)
+
+
+def ranked(df: DataFrame, log: list[str], order: str, name: str, width: int = 1 << 16) -> DataFrame:
+    """Number rows along each log from 1 by a whole-number ``order``, in blocks of ``width`` values."""
+    blocks = df.withColumn("_block", F.expr(f"`{order}` div {width}"))
+    return running(blocks, log, "_block", order, F.lit(1).cast("long"), "sum", name).drop("_block")

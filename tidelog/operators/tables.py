@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tidelog.operators.scan import ranked, running
+
 
 def only_new(rows: DataFrame, existing: DataFrame, key: list[str]) -> DataFrame:
     """Rows whose key the target does not hold: appending them twice changes nothing."""
@@ -14,8 +18,8 @@ def only_new(rows: DataFrame, existing: DataFrame, key: list[str]) -> DataFrame:
 
 def redrive(entries: DataFrame, marks: DataFrame) -> DataFrame:
     """Entries of each group's dead letters at or past its redriven mark, in order."""
-    pos = F.row_number().over(W.partitionBy("group").orderBy("source_offset")) - 1
-    return entries.withColumn("pos", pos).join(marks, "group", "left").filter(F.col("pos") >= F.coalesce("redriven", F.lit(0))).drop("redriven")
+    placed = ranked(entries, ["group"], "source_offset", "_n").withColumn("pos", F.col("_n") - 1).drop("_n")
+    return placed.join(marks, "group", "left").filter(F.col("pos") >= F.coalesce("redriven", F.lit(0))).drop("redriven")
 
 
 def txn_state(half: DataFrame, ops: DataFrame) -> DataFrame:
@@ -70,9 +74,13 @@ def mirror(batches: DataFrame, cursor: int, anchor: int) -> DataFrame:
     return b.select("stream", "first_offset", "accepted", F.when(F.col("accepted"), rows).otherwise(0).cast("long").alias("appended"))
 
 
-def fan_in(origins: list[DataFrame], order: list[str]) -> DataFrame:
-    """Several logs as one, with new dense offsets per target stream."""
-    from functools import reduce
+def fan_in(origins: list[DataFrame], order: str, width: int = 1 << 16) -> DataFrame:
+    """Several logs as one, with new dense offsets per target stream.
 
+    ``order`` is a whole number, unique within an origin's stream; equal ones go by
+    origin. Rows are numbered in blocks of ``width`` values of it.
+    """
     every = reduce(DataFrame.unionByName, [o.withColumn("_origin", F.lit(k)) for k, o in enumerate(origins)])
-    return every.withColumn("offset", F.row_number().over(W.partitionBy("stream").orderBy(*order, "_origin")) - 1).drop("_origin")
+    every = every.withColumn("_block", F.expr(f"`{order}` div {width}")).withColumn("_at", F.struct(order, "_origin"))
+    numbered = running(every, ["stream"], "_block", "_at", F.lit(1).cast("long"), "sum", "_n")
+    return numbered.withColumn("offset", F.col("_n") - 1).drop("_n", "_block", "_at", "_origin")

@@ -102,7 +102,15 @@ def _(spark, d):
     return table(spark, d, "events").select("user_id").distinct().select("user_id", admin.has_scope(granted, "publish").alias("can_publish"), admin.has_scope(granted, "admin").alias("can_admin"))
 
 
-@query("trace_sampling")
+# the mix in 128 bits: products stay below 2^97, remainders bring them back to 64 bits
+_A, _B = sampling.MIX
+SAMPLING_SQL = f"""WITH a AS (SELECT event_id, event_type, event_id::HUGEINT * {_A} % 18446744073709551616 AS x FROM events),
+    b AS (SELECT *, x * 2147483648 % 18446744073709551616 + x // 8589934592 AS y FROM a),
+    c AS (SELECT *, ((y // 4294967296) * {_B} % 4294967296 * 4294967296 + (y % 4294967296) * {_B}) % 18446744073709551616 AS z FROM b)
+    SELECT event_id, event_type = 'error' OR z // 2048 < 2251799813685248 AS recorded FROM c"""
+
+
+@query("trace_sampling", SAMPLING_SQL)
 def _(spark, d):
     e = table(spark, d, "events")
     return e.select("event_id", sampling.sampled(F.col("event_id"), 0.25, F.col("event_type") == "error").alias("recorded"))

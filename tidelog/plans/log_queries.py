@@ -330,5 +330,4 @@ def _(spark, d):
 )
 def _(spark, d):
     lane = F.least(F.col("user_id") % 6, F.lit(3))
-    turn = F.row_number().over(W.partitionBy("stream", "partition").orderBy(lane.desc(), "offset"))
-    return records(spark, d).select("offset", lane.alias("lane"), turn.alias("turn"))
+    return ordered.drain_turns(records(spark, d).withColumn("lane", lane), "lane").select("offset", "lane", "turn")

@@ -138,4 +138,4 @@ def _(spark, d):
 )
 def _(spark, d):
     c = table(spark, d, "customer").select(F.col("c_mktsegment").alias("stream"), F.col("c_custkey").alias("k"))
-    return tables.fan_in([c, c.filter("k % 3 = 0")], ["k"])
+    return tables.fan_in([c, c.filter("k % 3 = 0")], "k")
