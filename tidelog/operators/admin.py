@@ -94,3 +94,15 @@ def has_scope(granted: Column, scope: str) -> Column:
 def manifest(files: DataFrame) -> DataFrame:
     """Checksum and size of each file of a ``binaryFile`` frame, for a backup to be held against."""
     return files.select(F.regexp_extract("path", "([^/]+)$", 1).alias("file"), F.crc32("content").alias("crc32"), "length")
+
+
+def restore_faults(files: DataFrame, listed: DataFrame) -> DataFrame:
+    """What keeps a backup from being restored: files that are missing, damaged, or not in its manifest.
+
+    ``binaryFile`` does not list empty files, so they count on neither side.
+    """
+    f = manifest(files).withColumnsRenamed({"crc32": "_crc32", "length": "_length"})
+    j = listed.join(f, "file", "full_outer")
+    same = (F.col("crc32") == F.col("_crc32")) & (F.col("length") == F.col("_length"))
+    fault = F.when(F.col("_crc32").isNull(), "missing").when(F.col("crc32").isNull(), "unlisted").when(~same, "damaged")
+    return j.select("file", fault.alias("fault")).filter("fault is not null")

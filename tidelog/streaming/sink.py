@@ -28,11 +28,47 @@ class TableSink:
         p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
         return p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), p
 
-    def _marks(self) -> list[tuple[int, int]]:
-        """(batch, next offset) of all whole batches, in order."""
+    def _every_mark(self) -> list[tuple[int, int, int]]:
+        """(batch, next offset, first batch it stands for) of all whole batches, in order."""
         fs, p = self._at("_marks")
         names = [x.getPath().getName() for x in fs.listStatus(p)] if fs.exists(p) else []
-        return sorted(tuple(map(int, x.split("-"))) for x in names)
+        parts = [tuple(map(int, x.split("-"))) for x in names]
+        return sorted((x[0], x[1], x[2] if len(x) > 2 else x[0]) for x in parts)
+
+    def _marks(self) -> list[tuple[int, int]]:
+        """(batch, next offset) of the batches that make up the table, in order."""
+        marks = self._every_mark()
+        hidden = {b for n, _, first in marks for b in range(first, n)}
+        return [(b, n) for b, n, _ in marks if b not in hidden]
+
+    def snapshots(self) -> int:
+        """How many batches make up the table."""
+        return len(self._marks())
+
+    def merge(self, files: int) -> None:
+        """Rewrite all batches as one of ``files`` files, in place.
+
+        The new batch's mark names the batches it stands for, so readers change over
+        in one step; a crash before that leaves a folder without a mark. What it
+        replaced stays for readers that have begun, until :meth:`expire`.
+        """
+        marks = self._marks()
+        if len(marks) < 2:
+            return
+        number = self._every_mark()[-1][0] + 1
+        self.read().repartitionByRange(files, "offset").sortWithinPartitions("offset").write.mode("overwrite").parquet(self._folder(number))
+        self._mark(number, self.next_offset(), marks[0][0])
+
+    def expire(self) -> int:
+        """Delete batches that a merge replaced, their marks last but the merge's own; gives their number."""
+        kept, gone = {b for b, _ in self._marks()}, 0
+        for b, n, first in self._every_mark():
+            if b not in kept:
+                for name in (self._folder(b).removeprefix(self.path + "/"), f"_marks/{b:010d}-{n}" + (f"-{first}" if first != b else "")):
+                    fs, p = self._at(name)
+                    fs.delete(p, True)
+                gone += 1
+        return gone
 
     def _folder(self, batch: int) -> str:
         return f"{self.path}/batch-{batch:010d}"
@@ -56,15 +92,15 @@ class TableSink:
         new = batch.select(*[F.col(x.split()[0]).cast(x.split()[1]) for x in SCHEMA.split(", ")]).filter(F.col("offset") >= start)
         if not new.groupBy("offset").count().filter("count > 1").isEmpty():
             raise ValueError("offsets of a batch are not strictly increasing")
-        number = marks[-1][0] + 1 if marks else 0
+        number = self._every_mark()[-1][0] + 1 if marks else 0
         folder = self._folder(number)
         new.repartitionByRange("offset").sortWithinPartitions("offset").write.mode("overwrite").parquet(folder)
         last = self.spark.read.schema(SCHEMA).parquet(folder).agg(F.max("offset")).first()[0]
         if last is not None:
             self._mark(number, last + 1)
 
-    def _mark(self, number: int, following: int) -> None:
-        fs, p = self._at(f"_marks/{number:010d}-{following}")
+    def _mark(self, number: int, following: int, first: int | None = None) -> None:
+        fs, p = self._at(f"_marks/{number:010d}-{following}" + (f"-{first}" if first is not None else ""))
         fs.mkdirs(p.getParent())
         if not fs.createNewFile(p):
             raise RuntimeError(f"batch {number} has a mark of another writer")

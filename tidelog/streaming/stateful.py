@@ -4,73 +4,74 @@ from __future__ import annotations
 
 import pickle
 from collections.abc import Callable, Iterator
+from types import FunctionType
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from tidelog.operators.folds import dedup_machine, sequence_machine
+
 
 class Sequence:
-    """Producer sequences as an object whose state can be kept: epoch, high mark, offset."""
+    """Producer sequences, for :func:`keyed`."""
 
     def __init__(self):
-        self.epoch, self.high, self.held, self.first = 0, None, 0, True
-
-    def step(self, epoch: int, seq: int, offset: int) -> tuple[str, int]:
-        if self.first:
-            self.epoch, self.first = epoch, False
-        if epoch < self.epoch:
-            return "fenced", self.epoch
-        if epoch > self.epoch:
-            self.epoch, self.high = epoch, None
-        if self.high is None or seq == self.high + 1:
-            self.high, self.held = seq, offset
-            return "fresh", offset
-        if seq <= self.high:
-            return "duplicate", self.held
-        return "out_of_order", self.high + 1
+        self.step = sequence_machine()
 
 
 class Dedup:
-    """A bounded window of ids by count and age."""
+    """A bounded window of ids by count and age, for :func:`keyed`."""
 
     def __init__(self, max_ids: int = 100_000, window: int = 120_000):
-        self.max_ids, self.window, self.epoch, self.seen = max_ids, window, None, {}
-
-    def step(self, epoch: int, msg_id: str, offset: int, now: int) -> tuple[str, int]:
-        if self.epoch is None:
-            self.epoch = epoch
-        if epoch < self.epoch:
-            return "fenced", self.epoch
-        if epoch > self.epoch:
-            self.epoch, self.seen = epoch, {}
-        for k in list(self.seen):  # in order of arrival
-            if self.window and now - self.seen[k][1] >= self.window or len(self.seen) > self.max_ids:
-                del self.seen[k]
+        self.step = dedup_machine(max_ids, window)()
+
+
+def _cells(step: Callable) -> list:
+    """The variables a machine keeps between steps, its helpers' too, always in the same order."""
+    out, todo, known = [], [step], set()
+    while todo:
+        for cell in todo.pop().__closure__ or ():
+            if id(cell) in known:
+                continue
+            known.add(id(cell))
+            if isinstance(cell.cell_contents, FunctionType):
+                todo.append(cell.cell_contents)
             else:
-                break
-        if msg_id in self.seen:
-            return "duplicate", self.seen[msg_id][0]
-        self.seen[msg_id] = (offset, now)
-        if len(self.seen) > self.max_ids:
-            del self.seen[next(iter(self.seen))]
-        return "fresh", offset
+                out.append(cell)
+    return out
+
+
+def freeze(step: Callable) -> bytes:
+    """The state of a machine of :mod:`tidelog.operators.folds`, to be kept."""
+    return pickle.dumps([c.cell_contents for c in _cells(step)])
+
+
+def thaw(step: Callable, state: bytes) -> Callable:
+    """A new machine of the same kind goes on from a kept state."""
+    for cell, value in zip(_cells(step), pickle.loads(state), strict=True):
+        cell.cell_contents = value
+    return step
 
 
 def keyed(stream: DataFrame, key: str, order: str, columns: list[str], make: Callable[[], object], out: str) -> DataFrame:
-    """Fold a stream per key; ``make()`` gives an object with ``step(*columns)``.
+    """Fold a stream per key by any machine of the batch folds: producers, leases, key
+    sharing, transactions, confirmations, flow control.
 
-    Rows of a key are taken in ``order`` within each micro-batch. ``out`` is the
+    ``make()`` gives the machine, or an object that has it as ``step``. Rows of a key are taken in ``order`` within each micro-batch. ``out`` is the
     DDL of key, order and the results of a step.
     """
     names = [x.strip().split()[0] for x in out.split(",")]
 
     def run(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        machine = pickle.loads(state.get[0]) if state.exists else make()
+        machine = make()
+        step = getattr(machine, "step", machine)
+        if state.exists:
+            thaw(step, state.get[0])
         frame = pd.concat(list(frames)).sort_values(order)
-        rows = [(k[0], o, *machine.step(*values)) for o, *values in frame[[order, *columns]].itertuples(index=False, name=None)]
-        state.update((pickle.dumps(machine),))
+        rows = [(k[0], o, *step(*values)) for o, *values in frame[[order, *columns]].itertuples(index=False, name=None)]
+        state.update((freeze(step),))
         yield pd.DataFrame(rows, columns=names)
 
     return stream.groupBy(key).applyInPandasWithState(run, out, "machine binary", "append", GroupStateTimeout.NoTimeout)
