@@ -118,3 +118,19 @@ def incompressible(seed: Column, size: int) -> Column:
     """Hex digits of hashes of a counter: as good as random, the same for the same seed."""
     parts = [F.sha2(F.concat(seed.cast("string"), F.lit(f"-{i}")), 256) for i in range(size // 64 + 1)]
     return F.substring(F.concat(*parts), 1, size)
+
+
+def lines_of(text: Column) -> Column:
+    """Lines of a text; a last line break ends a line and does not begin one."""
+    body = F.regexp_replace(text, r"\n\z", "")
+    return F.when(text == "", F.array().cast("array<string>")).otherwise(F.split(body, "\n", -1))
+
+
+def success_envelope(schema: str, stdout: Column) -> Column:
+    data = F.struct(stdout.alias("stdout"), lines_of(stdout).alias("lines"))
+    return F.to_json(F.struct(F.lit(schema).alias("schema"), F.lit(True).alias("ok"), F.lit(0).alias("exit_code"), data.alias("data")))
+
+
+def error_envelope(schema: str, exit_code: Column, kind: Column, message: Column) -> Column:
+    error = F.struct(kind.alias("kind"), message.alias("message"))
+    return F.to_json(F.struct(F.lit(schema).alias("schema"), F.lit(False).alias("ok"), exit_code.alias("exit_code"), error.alias("error")))
