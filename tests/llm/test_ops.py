@@ -333,6 +333,46 @@ def test_remove_repeats_keeps_columns(spark, docs):
     assert all(r["text"] is None or r["n_chars"] == len(r["text"]) for r in out.collect())
 
 
+def _left_without_passages(texts):
+    """Bytes left once repeated strings of 400 bytes and of 51 words are gone."""
+    at = [[m.span() for m in plain.WORD.finditer(t or "")] for t in texts]
+    grams = [[tuple(t[a:b] for a, b in w[k : k + 51]) for k in range(len(w) - 50)] for t, w in zip(texts, at)]
+    seen = Counter(g for x in grams for g in x)
+    for t, w, x, (raw, mask) in zip(texts, at, grams, plain.repeated(texts, 400)):
+        mask = bytearray(mask)
+        gone = [(len(t[: w[k][0]].encode()), len(t[: w[k + 50][1]].encode())) for k, g in enumerate(x) if seen[g] > 1]
+        for a, b in gone:
+            mask[a:b] = b"\1" * (b - a)
+        yield bytes(b for b, m in zip(raw, mask) if not m)
+
+
+def test_passages_of_over_fifty_words(spark, folder):
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdeé") for _ in range(rng.randint(1, 6)))
+    some = lambda n: " ".join(word() for _ in range(n))
+    short, fifty, many = some(51), some(50), some(60)
+    assert max(len(x.encode()) for x in (short, fifty, many)) < 400
+    texts = [f"{some(30)} {short} {some(20)}", f"{short.replace(' ', chr(10))} {some(9)}", f"{some(9)} {fifty} {some(9)}", f"{some(9)} {fifty}"]
+    texts += [f"{some(40)}\n{many}\n{some(40)}" for _ in range(12)] + [f"{many} {some(3)} {many}", f"x{many}", "b " * 60, "漢 " * 55 + short, short, short[:-1], some(3000), None, ""]
+    texts += [f"{some(5)} {some(70)}"] * 2
+    want = Counter((k, len(left), left.decode()) for k, left in enumerate(_left_without_passages(texts)))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    got = suffix_dedup.query(spark, folder(documents=docs))
+    assert as_rows(got, "doc_id", "n_left", "text_left") == want
+    out = suffix_dedup.remove_repeats(docs, passages=True)
+    assert as_rows(out, "doc_id", "text") == Counter((k, left if texts[k] is not None else None) for k, n, left in want if left.strip() or not texts[k])
+    assert got.filter("doc_id = 0").first()["n_removed"] == 0 and (0, len(texts[0].encode()) - len(short.encode()), texts[0].replace(short, "")) in want
+    assert any(k == 2 and left == texts[2] for k, _, left in want)
+
+
+def test_passages_of_the_supplied_rows(spark, sf):
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    want = Counter((k, left.decode("utf-8", "ignore")) for k, left in zip(texts, _left_without_passages(list(texts.values()))))
+    got = suffix_dedup.query(spark, sf)
+    assert as_rows(got, "doc_id", "text_left") == want
+    assert got.filter("n_left < n_kept").count() > 10
+
+
 # ------------------------------------------------------------- quality rules
 
 

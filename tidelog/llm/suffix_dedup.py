@@ -1,8 +1,9 @@
-"""Removal of repeated passages by a distributed difference-cover suffix sort.
+r"""Removal of repeated passages by a distributed difference-cover suffix sort.
 
 Every byte covered by a string of LENGTH bytes that starts anywhere else too is
 removed. That needs the order of suffixes only to depth LENGTH: whether a suffix
-shares its first LENGTH bytes with a neighbour.
+shares its first LENGTH bytes with a neighbour. (LENGTH, V and the cover are
+those of a :class:`Unit`: 400, 183 and 14 residues for bytes.)
 
 1. Sample. Positions whose remainder modulo V lies in a difference cover are
    sampled (the perfect cover of 14 residues modulo 183, in the place of the two
@@ -26,7 +27,12 @@ documents costs its bucket one entry a task. Texts are known by two 64-bit
 hashes, names are 64-bit hashes, so copies of a text share their runs and
 documents without or with equal doc_ids are no special case.
 
-Null text: empty; nothing removed. Texts below LENGTH bytes: nothing removed.
+The same steps find passages of over 50 words: symbols are then the hashes of
+words (``[^\x20\x09-\x0D]+``, whatever white space lies between) instead of
+bytes, a string has 51 of them and the cover is that of 4 residues modulo 13.
+What goes there are the bytes from the first word of a run to its last.
+
+Null text: empty; nothing removed. Texts below a unit's length: nothing removed.
 Copies of longer texts are removed whole, all of them. Repeated rows are copies.
 Empty tables give empty tables; extra columns are ignored by the query and kept
 by :func:`remove_repeats`.
@@ -36,6 +42,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -43,10 +50,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import M1, Rolling, drop_table, mix, release, shared_table, tasks_for, text_col, to_buckets
+from tidelog.llm.common import M1, Rolling, drop_table, mix, release, shared_table, tasks_for, text_col, to_buckets, word_bounds, word_hashes
 
-LENGTH = 400
-PRIME = 13
 FLUSH = 1_500_000
 EMPTY = np.zeros(0, np.int64)
 
@@ -70,8 +75,37 @@ def difference_cover(q: int) -> tuple[int, np.ndarray]:
     raise ValueError(f"no cover for {q}")
 
 
-V, COVER = difference_cover(PRIME)
-TUPLE = LENGTH - V + 1
+class Unit(NamedTuple):
+    """What strings are made of, and how long one is that must not repeat."""
+
+    length: int
+    v: int
+    cover: np.ndarray
+    least_bytes: int  # no text of fewer bytes holds a string
+    words: bool
+
+    @property
+    def tuple(self) -> int:
+        return self.length - self.v + 1
+
+    def roll(self, data: np.ndarray) -> Rolling:
+        """Hashes of spans of the symbols of a text."""
+        return Rolling(word_hashes(data)[2] if self.words else data)
+
+    def cut(self, data: np.ndarray, spans: bytes | None) -> tuple[np.ndarray, np.ndarray]:
+        """Byte intervals that repeated starts remove from a text."""
+        if not spans:
+            return EMPTY, EMPTY
+        s, e = unpack_intervals(spans)
+        e = e - 1 + self.length
+        if self.words:
+            first, end = word_bounds(data)
+            s, e = first[s], end[e - 1]
+        return union(s, e)
+
+
+BYTES = Unit(400, *difference_cover(13), 400, False)
+WORDS = Unit(51, *difference_cover(3), 101, True)
 
 
 # ------------------------------------------------------------------ intervals
@@ -170,29 +204,17 @@ def _split_repeats(cols: list[np.ndarray], kind_at: int) -> tuple[list[np.ndarra
 # ------------------------------------------------------- 1. the difference cover
 
 NAMES = Table("u8", "i8", "i4", "u1")  # name, text, position, kind
-RUNS = "th long, runs binary"
 
 
-def _runs_by_text(th: np.ndarray, pos: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Runs of candidate starts around repeated samples, one row a text."""
-    if not len(th):
-        return
-    order = np.lexsort((pos, th))
-    th, pos = th[order], pos[order].astype(np.int64)
-    cut = np.flatnonzero(np.concatenate([[True], th[1:] != th[:-1], [True]]))
-    rows = [pack_intervals(*union(np.maximum(pos[a:b] - V + 1, 0), pos[a:b] + 1)) for a, b in zip(cut[:-1], cut[1:], strict=True)]
-    yield pa.RecordBatch.from_arrays([pa.array(th[cut[:-1]], pa.int64()), pa.array(rows, pa.binary())], names=["th", "runs"])
-
-
-def sample(data: np.ndarray) -> np.ndarray:
-    """Sampled positions with a whole tuple after them."""
-    last = len(data) - TUPLE
-    blocks = np.arange(0, max(last, 0) + V, V)
-    at = (blocks[:, None] + COVER[None, :]).ravel()
+def sample(n: int, unit: Unit) -> np.ndarray:
+    """Sampled positions of n symbols with a whole tuple after them."""
+    last = n - unit.tuple
+    blocks = np.arange(0, max(last, 0) + unit.v, unit.v)
+    at = (blocks[:, None] + unit.cover[None, :]).ravel()
     return at[at <= last]
 
 
-def _send_names(buckets: int):
+def _send_names(buckets: int, unit: Unit):
     def flush(held: list) -> pa.RecordBatch:
         send, out = _split_repeats(NAMES.join(held), 3)
         rows = _to_buckets(NAMES, send, buckets)
@@ -203,11 +225,11 @@ def _send_names(buckets: int):
         held, size = [], 0
         for batch in batches:
             for th, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                data = np.frombuffer(text.as_buffer(), np.uint8)
-                if len(data) < LENGTH:
+                roll = unit.roll(np.frombuffer(text.as_buffer(), np.uint8))
+                if roll.n < unit.length:
                     continue
-                at = sample(data)
-                held.append([Rolling(data).spans(at, at + TUPLE), np.full(len(at), th, np.int64), at.astype(np.int32), np.zeros(len(at), np.uint8)])
+                at = sample(roll.n, unit)
+                held.append([roll.spans(at, at + unit.tuple), np.full(len(at), th, np.int64), at.astype(np.int32), np.zeros(len(at), np.uint8)])
                 size += len(at)
                 if size >= FLUSH:
                     yield flush(held)
@@ -218,42 +240,24 @@ def _send_names(buckets: int):
     return run
 
 
-def _meet_names(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held = []
-    for batch in batches:
-        for bucket, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            cols = NAMES.unpack(raw)
-            if bucket < 0:
-                yield from _runs_by_text(cols[1], cols[2])
-            else:
-                held.append(cols)
-    _, out = _split_repeats(NAMES.join(held), 3)
-    yield from _runs_by_text(out[1], out[2])
-
-
-def _merge_rows(names: list[str]):
-    """Union of the intervals of each text; rows arrive sorted by the text's key."""
-    keys = names[:-1]
+def _meet_names(buckets: int, v: int):
+    """Runs of candidate starts around repeated samples, on their way to their texts."""
 
-    def out(key: tuple, parts: list[bytes]) -> pa.RecordBatch:
-        s, e = zip(*(unpack_intervals(x) for x in parts), strict=True)
-        raw = pack_intervals(*union(np.concatenate(s), np.concatenate(e)))
-        return pa.RecordBatch.from_arrays([*(pa.array([k], pa.int64()) for k in key), pa.array([raw], pa.binary())], names=names)
+    def send(th: np.ndarray, pos: np.ndarray) -> Iterator[pa.RecordBatch]:
+        pos = pos.astype(np.int64)
+        return _send_spans(buckets, th, np.zeros(len(th), np.int64), np.maximum(pos - v + 1, 0), pos + 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, parts = None, []
+        held = []
         for batch in batches:
-            for key, raw in zip(zip(*(batch.column(k).to_pylist() for k in range(len(keys))), strict=True), batch.column(len(keys)).to_pylist(), strict=True):
-                if key != last:
-                    if parts:
-                        yield out(last, parts)
-                    last, parts = key, []
-                parts.append(raw)
-                if len(parts) >= 256:  # many tasks may speak of one text
-                    s, e = zip(*(unpack_intervals(x) for x in parts), strict=True)
-                    parts = [pack_intervals(*union(np.concatenate(s), np.concatenate(e)))]
-        if parts:
-            yield out(last, parts)
+            for bucket, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                cols = NAMES.unpack(raw)
+                if bucket < 0:
+                    yield from send(cols[1], cols[2])
+                else:
+                    held.append(cols)
+        _, out = _split_repeats(NAMES.join(held), 3)
+        yield from send(out[1], out[2])
 
     return run
 
@@ -279,18 +283,18 @@ def anchors(names: np.ndarray, width: int) -> np.ndarray:
 STRETCH = 1 << 22  # starts looked at together; a longer run overlaps by nothing, as anchors depend on a start alone
 
 
-def contexts(data: np.ndarray, s: np.ndarray, e: np.ndarray) -> list[np.ndarray]:
+def contexts(roll: Rolling, s: np.ndarray, e: np.ndarray, unit: Unit) -> list[np.ndarray]:
     """context, name, first start, last start for all anchors of the runs [s, e)."""
-    roll, out = Rolling(data), []
+    out = []
     for a, b in zip(s.tolist(), e.tolist(), strict=True):
         for x in range(a, b, STRETCH):
             y = min(b, x + STRETCH)
-            at = np.arange(x, y - 1 + V)
-            names = roll.spans(at, at + TUPLE)
-            who = anchors(names, V)
+            at = np.arange(x, y - 1 + unit.v)
+            names = roll.spans(at, at + unit.tuple)
+            who = anchors(names, unit.v)
             cut = np.flatnonzero(np.concatenate([[True], who[1:] != who[:-1]]))
             first, last = x + cut, x + np.concatenate([cut[1:], [y - x]]) - 1
-            key = mix(roll.spans(first, last + LENGTH) ^ (who[cut] - cut).astype(np.uint64))
+            key = mix(roll.spans(first, last + unit.length) ^ (who[cut] - cut).astype(np.uint64))
             out.append([key, names[who[cut]], first, last])
     return [np.concatenate(x) for x in zip(*out, strict=True)] if out else []
 
@@ -301,7 +305,7 @@ def _found(name, th, th2, a, b, kind: int) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["name", "th", "th2", "a", "b", "kind"])
 
 
-def _send_contexts(buckets: int):
+def _send_contexts(buckets: int, unit: Unit):
     def flush(held: list) -> pa.RecordBatch:
         send, out = _split_repeats(CONTEXTS.join(held), 6)
         rows = _to_buckets(CONTEXTS, send, buckets)
@@ -312,10 +316,10 @@ def _send_contexts(buckets: int):
         held, size = [], 0
         for batch in batches:
             for th, th2, text, runs in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3).to_pylist(), strict=True):
-                data = np.frombuffer(text.as_buffer(), np.uint8)
+                roll = unit.roll(np.frombuffer(text.as_buffer(), np.uint8))
                 s, e = unpack_intervals(runs)
-                e = np.minimum(e, len(data) - LENGTH + 1)
-                got = contexts(data, s[e > s], e[e > s])
+                e = np.minimum(e, roll.n - unit.length + 1)
+                got = contexts(roll, s[e > s], e[e > s], unit)
                 if got:
                     key, name, a, b = got
                     n = len(key)
@@ -350,7 +354,7 @@ def _meet_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 # -------------------------------------------------------- 3. the rest, singly
 
-STARTS = Table("u8", "i8", "i8", "i4", "u1")  # hash of LENGTH bytes, th, th2, start, kind
+STARTS = Table("u8", "i8", "i8", "i4", "u1")  # hash of LENGTH symbols, th, th2, start, kind
 SPANS = "th long, th2 long, spans binary"
 
 
@@ -391,7 +395,7 @@ def _meet_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(th[ends[:-1]], pa.int64()), pa.array(th2[ends[:-1]], pa.int64()), pa.array(rows, pa.binary())], names=["th", "th2", "spans"])
 
 
-def _send_starts(buckets: int):
+def _send_starts(buckets: int, unit: Unit):
     def flush(held: list) -> pa.RecordBatch:
         send, out = _split_repeats(STARTS.join(held), 4)
         rows = _to_buckets(STARTS, send, buckets)
@@ -402,12 +406,11 @@ def _send_starts(buckets: int):
         held, size = [], 0
         for batch in batches:
             for th, th2, text, open_ in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3).to_pylist(), strict=True):
-                data = np.frombuffer(text.as_buffer(), np.uint8)
-                roll = Rolling(data)
+                roll = unit.roll(np.frombuffer(text.as_buffer(), np.uint8))
                 a, b, kind = (np.array([x[k] for x in open_], np.int64) for k in ("a", "b", "kind"))
                 n = b - a + 1
                 at = np.repeat(a - (np.cumsum(n) - n), n) + np.arange(n.sum())
-                held.append([roll.spans(at, at + LENGTH), np.full(len(at), th, np.int64), np.full(len(at), th2, np.int64), at.astype(np.int32), np.repeat(kind, n).astype(np.uint8)])
+                held.append([roll.spans(at, at + unit.length), np.full(len(at), th, np.int64), np.full(len(at), th2, np.int64), at.astype(np.int32), np.repeat(kind, n).astype(np.uint8)])
                 size += len(at)
                 if size >= FLUSH:
                     yield flush(held)
@@ -446,23 +449,22 @@ def _spans_of_rows(buckets: int):
 # ------------------------------------------------------------------ on Spark
 
 
-def repeated_starts(texts: DataFrame) -> DataFrame:
-    """(th, th2, spans): the starts of repeated strings, packed intervals a text.
+def repeated_starts(texts: DataFrame, unit: Unit = BYTES) -> DataFrame:
+    """(th, th2, spans): the starts of repeated strings in symbols, packed intervals a text.
 
     ``texts`` has th, th2 (hashes of the text) and data (its bytes), one row a document.
     """
     spark = texts.sparkSession
     parts = tasks_for(spark)
-    long = texts.filter(F.octet_length("data") >= LENGTH)
-    names = long.select("th", "data").mapInArrow(_send_names(parts), SENT).repartition(parts, "bucket")
-    runs = names.mapInArrow(_meet_names, RUNS).repartition(parts, "th").sortWithinPartitions("th").mapInArrow(_merge_rows(["th", "runs"]), RUNS)
-    runs = shared_table(runs, "runs")
+    long = texts.filter(F.octet_length("data") >= unit.least_bytes)
+    names = long.select("th", "data").mapInArrow(_send_names(parts, unit), SENT).repartition(parts, "bucket")
+    runs = names.mapInArrow(_meet_names(parts, unit.v), SENT).repartition(parts, "bucket").mapInArrow(_meet_spans, SPANS)
+    runs = shared_table(runs.select(F.col("th").alias("_th"), F.col("spans").alias("runs")), "runs")
     release(spark)
 
-    r = runs.withColumnRenamed("th", "_th")
     # texts meet what was found about them by shuffle at every size: what was found grows with the input
-    near = long.join(r.hint("merge"), long["th"] == r["_th"]).select("th", "th2", "data", "runs")
-    met = near.mapInArrow(_send_contexts(parts), SENT).repartition(parts, "bucket").mapInArrow(_meet_contexts, FOUND)
+    near = long.join(runs.hint("merge"), long["th"] == runs["_th"]).select("th", "th2", "data", "runs")
+    met = near.mapInArrow(_send_contexts(parts, unit), SENT).repartition(parts, "bucket").mapInArrow(_meet_contexts, FOUND)
     met = shared_table(met, "contexts")
     release(spark)
 
@@ -472,7 +474,7 @@ def repeated_starts(texts: DataFrame) -> DataFrame:
     open_ = single.join(mixed, single["name"] == mixed["_name"]).groupBy(F.col("th").alias("_th"), F.col("th2").alias("_th2")).agg(F.collect_list(F.struct("a", "b", "kind")).alias("open"))
     open_ = shared_table(open_, "open")
     todo = long.join(open_.hint("merge"), (long["th"] == open_["_th"]) & (long["th2"] == open_["_th2"])).select("th", "th2", "data", "open")
-    rest = shared_table(todo.mapInArrow(_send_starts(parts), SENT).repartition(parts, "bucket").mapInArrow(_meet_starts(parts), SENT), "rest")
+    rest = shared_table(todo.mapInArrow(_send_starts(parts, unit), SENT).repartition(parts, "bucket").mapInArrow(_meet_starts(parts), SENT), "rest")
     release(spark)
 
     sure = met.filter("kind = 2").select("th", "th2", "a", "b").mapInArrow(_spans_of_rows(parts), SENT)
@@ -483,14 +485,6 @@ def repeated_starts(texts: DataFrame) -> DataFrame:
     return spans
 
 
-def removed(n: int, spans: bytes | None) -> tuple[np.ndarray, np.ndarray]:
-    """Byte intervals to remove from a text of n bytes."""
-    if not spans:
-        return EMPTY, EMPTY
-    s, e = unpack_intervals(spans)
-    return union(s, e - 1 + LENGTH)
-
-
 def kept_bytes(raw: bytes, s: np.ndarray, e: np.ndarray) -> bytes:
     if not len(s):
         return raw
@@ -502,37 +496,56 @@ def _hashed(docs: DataFrame, *columns) -> DataFrame:
     return docs.select(*columns, F.xxhash64(text).alias("th"), F.xxhash64(F.lit(1), text).alias("th2"), F.encode(text, "utf-8").alias("data"))
 
 
-def _with_spans(docs: DataFrame, *columns) -> DataFrame:
+def _with_spans(docs: DataFrame, *columns, passages: bool) -> DataFrame:
+    """The columns, data and the repeated starts in bytes (_spans) and, for passages, in words (_words)."""
     d = _hashed(docs, *columns)
     spans = repeated_starts(d.select("th", "th2", "data")).select(F.col("th").alias("_th"), F.col("th2").alias("_th2"), F.col("spans").alias("_spans"))
+    if passages:
+        words = repeated_starts(d.select("th", "th2", "data"), WORDS).select(F.col("th").alias("_th"), F.col("th2").alias("_th2"), F.col("spans").alias("_words"))
+        spans = shared_table(spans.join(words, ["_th", "_th2"], "full"), "both")
+        release(docs.sparkSession)
+    else:
+        spans = spans.withColumn("_words", F.lit(None).cast("binary"))
     return d.join(spans.hint("merge"), (d["th"] == spans["_th"]) & (d["th2"] == spans["_th2"]), "left")
 
 
-DIGEST = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, changed boolean, n_kept long, text string"
+DIGEST = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, changed boolean, n_kept long, text string, n_left long, text_left string"
+
+
+def _cut(data: np.ndarray, spans: bytes | None, words: bytes | None) -> tuple[np.ndarray, np.ndarray]:
+    """Byte intervals of both kinds of strings together."""
+    (s, e), (s2, e2) = BYTES.cut(data, spans), WORDS.cut(data, words)
+    return union(np.concatenate([s, s2]), np.concatenate([e, e2]))
 
 
 def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The contract's columns, then whether a byte went, the bytes kept and the text they make (less a character cut in two)."""
+    """The contract's columns, then whether a byte went, the bytes kept and the text they make (less a character cut in two).
+
+    Last the bytes and the text that stay once passages of over 50 words go as well.
+    """
     for batch in batches:
         rows = []
-        for data, spans in zip(batch.column(1), batch.column(2).to_pylist(), strict=True):
+        for data, spans, words in zip(batch.column(1), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
             raw = data.as_buffer().to_pybytes()
-            s, e = removed(len(raw), spans)
+            at = np.frombuffer(raw, np.uint8)
+            s, e = BYTES.cut(at, spans)
             kept = kept_bytes(raw, s, e)
-            rows.append((len(raw), len(raw) - len(kept), len(s), hashlib.sha256(kept).hexdigest(), len(s) > 0, len(kept), kept.decode("utf-8", "ignore")))
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_(), pa.int64(), pa.string()]
-        cols = list(zip(*rows, strict=True)) or [()] * 7
+            left = kept_bytes(raw, *_cut(at, spans, words)) if words else kept
+            rows.append((len(raw), len(raw) - len(kept), len(s), hashlib.sha256(kept).hexdigest(), len(s) > 0, len(kept), kept.decode("utf-8", "ignore"), len(left), left.decode("utf-8", "ignore")))
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_(), pa.int64(), pa.string(), pa.int64(), pa.string()]
+        cols = list(zip(*rows, strict=True)) or [()] * len(kinds)
         yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], names=[x.split()[0] for x in DIGEST.split(", ")])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return _with_spans(docs, docs["doc_id"].cast("long").alias("doc_id")).select("doc_id", "data", "_spans").mapInArrow(_digest, DIGEST)
+    return _with_spans(docs, docs["doc_id"].cast("long").alias("doc_id"), passages=True).select("doc_id", "data", "_spans", "_words").mapInArrow(_digest, DIGEST)
 
 
-def remove_repeats(docs: DataFrame) -> DataFrame:
+def remove_repeats(docs: DataFrame, passages: bool = False) -> DataFrame:
     """``docs`` with repeated passages cut from ``text`` and ``n_chars`` set anew.
 
+    With ``passages`` those of over 50 words go too, whatever bytes they have.
     A cut may fall inside a character; the broken rest of it goes too. Rows whose
     whole text goes are dropped; rows that were empty before stay.
     """
@@ -542,14 +555,14 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out, keep = [], []
-            for data, spans in zip(batch.column(1), batch.column(2).to_pylist(), strict=True):
+            for data, spans, words in zip(batch.column(1), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
                 raw = data.as_buffer().to_pybytes()
-                s, e = removed(len(raw), spans)
+                s, e = _cut(np.frombuffer(raw, np.uint8), spans, words)
                 out.append(kept_bytes(raw, s, e).decode("utf-8", "ignore") if len(s) else None)
                 keep.append(not len(s) or bool(out[-1].strip()))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string())], names=["_row", "_new"]).filter(pa.array(keep, pa.bool_()))
 
-    d = _with_spans(docs, held).select("_row", "data", "_spans")
+    d = _with_spans(docs, held, passages=passages).select("_row", "data", "_spans", "_words")
     cut = d.mapInArrow(run, f"_row {d.schema['_row'].dataType.simpleString()}, _new string")
     cols = []
     for c in names:
